@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     from brindle.session import local_session
 
     session = local_session("8", 8, "4g")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
