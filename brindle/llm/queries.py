@@ -18,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.common import held_out
+    from brindle.llm.language import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    return identify(docs, learn(docs, ~out), ["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.pii import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.tokens import count_tokens
 
@@ -31,6 +46,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
     "op9_packing": op9_packing,
 }
