@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm import exact
+
 
 def tokenizer_file(name: str) -> str:
     """A file of the installed public vocabularies; operators take any path."""
@@ -39,6 +41,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.exact import groups
+
+    return groups(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.packing import pack
 
@@ -49,6 +57,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
+    "op5_exact_dedup": op5_exact_dedup,
     "op9_packing": op9_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
