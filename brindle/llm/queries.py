@@ -29,6 +29,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs, ~out), ["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.pii import digest, find
 
@@ -55,6 +62,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_simhash": op2_simhash,
     "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
