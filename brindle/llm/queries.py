@@ -54,6 +54,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.packing import pack
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_mixing": op7_mixing,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
