@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 BLOCK = 2048
 
 
-def grouped(cells: DataFrame, cell: str, salt: Column, fn: Callable, schema: T.StructType, useful: Column | None = None, block: int = BLOCK) -> DataFrame:
+def grouped(cells: DataFrame, cell: str, salt: Column, fn: Callable, schema: T.StructType, useful: Column | None = None, block: int = BLOCK, payload: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Give each pair of blocks of each cell of two or more rows to ``fn(batches)``.
 
     ``cells``: rows with a column ``cell``; ``salt`` must be one value for equal items. ``useful``: an aggregate that
-    must hold of a cell. ``fn`` gets Arrow batches sorted by (cell, _i, _j), ``_block`` the row's own block; in a group
+    must hold of a cell. ``payload``: what the comparison needs beside the cells, joined by column ``by`` once the cells of
+    a single row are gone. ``fn`` gets Arrow batches sorted by (cell, _i, _j), ``_block`` the row's own block; in a group
     (cell, i, j) with i < j only pairs across the two blocks count, with i = j those inside.
     """
     sizes = cells.groupBy(cell).agg(F.count(F.lit(1)).alias("_n"), (F.lit(True) if useful is None else useful).alias("_useful"))
@@ -29,6 +30,7 @@ def grouped(cells: DataFrame, cell: str, salt: Column, fn: Callable, schema: T.S
     rows = cells.join(sizes, F.col(cell) == F.col("_cell")).drop("_cell").withColumn("_block", F.pmod(salt, F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.when(F.col("_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))))
     rows = rows.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_blocks", "_other")
+    rows = rows if payload is None else rows.join(payload, by)
     return rows.repartition(cell, "_i", "_j").sortWithinPartitions(cell, "_i", "_j").mapInArrow(fn, schema)
 
 
@@ -64,6 +66,17 @@ def runs(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         yield from zip(np.r_[0, cuts], np.r_[cuts, len(columns[0])], strict=True)
 
 
+def pairs_of_small(spans: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y), row numbers x < y of all pairs within each run of at most ``most`` rows, for all runs at once."""
+    size = spans[:, 1] - spans[:, 0]
+    end = np.repeat(np.where(size <= most, spans[:, 1], 0), size)
+    for d in range(1, most):
+        x = np.flatnonzero(np.arange(len(end)) + d < end)
+        if not len(x):
+            return
+        yield x, x + d
+
+
 def forest(linked: Callable[[int, np.ndarray], np.ndarray], n: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among items 0..n-1; ``linked(i, rest)`` says which of ``rest`` i is
     linked to. Each item is compared with those not yet reached only, so a dense group costs little more than n."""

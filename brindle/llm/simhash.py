@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.common import arrow_rows, components, written
-from brindle.llm.links import forest, grouped, runs, whole_groups
+from brindle.llm.links import forest, grouped, pairs_of_small, runs, whole_groups
 
 SEED = 42
 #: Cells of up to this many rows give all their links, larger ones a spanning forest of them.
@@ -126,14 +126,10 @@ def links(distinct: DataFrame, radius: int = 3, groups: int = 2, fp: str = "fp")
             spans = np.array(list(runs([cell, i, j])), dtype=np.int64).reshape(-1, 2)
             small = spans[:, 1] - spans[:, 0] <= SMALL
             left, right = [], []
-            end = np.repeat(np.where(small, spans[:, 1], 0), spans[:, 1] - spans[:, 0])
-            for d in range(1, SMALL):
-                x = np.flatnonzero(np.arange(len(end)) + d < end)
-                if not len(x):
-                    break
-                x = x[near(x, x + d)]
-                left.append(x)
-                right.append(x + d)
+            for x, y in pairs_of_small(spans, SMALL):
+                ok = near(x, y)
+                left.append(x[ok])
+                right.append(y[ok])
             for start, stop in spans[~small]:
                 pairs = np.array(forest(lambda k, rest, s=start, near=near: near(s + k, s + rest), stop - start), dtype=np.int64).reshape(-1, 2) + start
                 left.append(pairs[:, 0])
