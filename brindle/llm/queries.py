@@ -66,6 +66,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.pages import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.packing import pack
 
@@ -80,6 +86,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_mixing": op7_mixing,
+    "op8_html": op8_html,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
