@@ -78,6 +78,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.common import held_out
+    from brindle.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(F.col("doc_id"), 5, 0))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -88,5 +95,6 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_html": op8_html,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
