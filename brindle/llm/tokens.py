@@ -14,19 +14,20 @@ repeated results; an empty table gives an empty table; columns other than the id
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from pathlib import Path
 
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The pattern of byte-level pre-tokenizers that have use_regex set (fixed value of the public library).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts with characters from U+0250 on go to the library: below, character classes and lower case are proved equal.
-BEYOND = regex.compile("[^\x00-ɏ]")
+#: Texts with characters from U+0180 on go to the library: below, character classes and lower case are proved equal.
+BEYOND = re.compile("[^\x00-ſ]")
 #: Pre-tokens that are merged rather than looked up stay in the memo up to this many; then it starts anew.
-MEMO = 300_000
+MEMO = 600_000
 #: Texts longer than this are scanned pre-token by pre-token, not as one list.
 LONG = 2_000_000
 
@@ -38,6 +39,33 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def ranges(kind: str) -> str:
+    """Characters below U+0250 of a general category, or White_Space for ``s``, as the inside of a character class."""
+    has = [c for c in range(0x250) if (c in (*range(9, 14), 0x20, 0x85, 0xA0) if kind == "s" else unicodedata.category(chr(c))[0] == kind)]
+    runs: list[list[int]] = []
+    for c in has:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+
+
+def below(pattern: str) -> re.Pattern:
+    """The pattern with its character properties spelt out for texts in the proved range."""
+    out, inside = "", False
+    for part in re.split(r"(\\p\{[LN]\}|\\[sS]|[\[\]])", pattern):
+        if part in "[]" and part:
+            inside = part == "["
+        if part.startswith("\\"):
+            body = ranges(part[3] if part[1] == "p" else "s")
+            if inside and part == "\\S":
+                raise ValueError("a negated class inside a class is not supported")
+            part = body if inside else f"[^{body}]" if part == "\\S" else f"[{body}]"
+        out += part
+    return re.compile(out)
+
+
 class Memo(dict):
     """Value of a pre-token: whole strings for good, others worked out once and kept while there is room."""
 
@@ -70,8 +98,8 @@ class Vocabulary:
         kinds = {n["type"] for n in normal["normalizers"]} - {"NFC", "Replace", "Lowercase"}
         if kinds or parts[-1]["type"] != "ByteLevel" or parts[-1].get("add_prefix_space"):
             raise ValueError("only byte-level BPE vocabularies are supported")
-        self.pattern = regex.compile(BYTE_LEVEL if parts[-1]["use_regex"] else parts[0]["pattern"]["Regex"])
-        self.specials = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
+        self.pattern = below(BYTE_LEVEL if parts[-1]["use_regex"] else parts[0]["pattern"]["Regex"])
+        self.specials = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         self.letters = byte_letters()
         bytes_of = {c: b for b, c in enumerate(self.letters)}
         suffix = spec["model"]["end_of_word_suffix"] or ""
