@@ -84,16 +84,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     return each.select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Of rows repeated under one id, the first by the order of
-    the other columns stays."""
-    stays = groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    kept = docs.withColumn("_own", sha).join(stays, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_sha")), "left_semi")
+def text_sha(text: Column) -> Column:
+    return F.sha2(normalised(text).cast("binary"), 256)
+
+
+def only(docs: DataFrame, stays: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id and text are in ``stays`` (id, sha); of rows repeated under
+    one id and text, the first by the order of the other columns."""
+    stays = stays.select(F.col("id").alias("_stays"), F.col("sha").alias("_sha"))
+    kept = docs.withColumn("_own", text_sha(F.col(text_col))).join(stays, F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_own") == F.col("_sha")), "left_semi")
     first = F.row_number().over(W.Window.partitionBy(id_col, "_own").orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)], text_col))
     return kept.withColumn("_first", first).where("_first = 1").select(*docs.columns)
 
 
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay."""
+    kept = groups(docs, id_col, text_col).where("kept")
+    return only(docs, kept.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")), id_col, text_col)
+
+
 ORACLE = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.common import arrow_rows, components, written
+from brindle.llm.exact import only, text_sha
 from brindle.llm.links import forest, grouped, pairs_of_small, runs, whole_groups
 
 SEED = 42
@@ -149,3 +150,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select(F.col(id_col), "fp", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min(id_col).alias("component_id"))
     return rooted.join(least, "root").select(id_col, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, groups: int = 2) -> DataFrame:
+    """One row of each component, with all columns of ``docs``: the one with the smallest id, null ids last."""
+    narrow = docs.select(F.col(id_col).alias("id"), text_sha(F.col(text_col)).alias("sha"), F.col(text_col).alias("text"))
+    prints = written(fingerprints(narrow, ["id", "sha"], "text", shingle), "prints")
+    roots = components(links(prints.select("fp").distinct(), radius, groups), "simhash")
+    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("first"))
+    return only(docs, first.select("first.id", "first.sha"), id_col, text_col)
