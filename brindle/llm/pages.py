@@ -34,6 +34,8 @@ from brindle.llm.common import arrow_rows, written
 
 #: Share of a host's pages, and number of pages, on which template text stands at least.
 SUPPORT, LEAST = 0.3, 3
+#: A host is large with one page in so many, so there are no more large hosts than this.
+LARGE = 1000
 #: Containers whose text is links to this share or more are menus.
 LINKED = 0.5
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|</?[a-zA-Z][^>]*(?:>|$)""", re.DOTALL)
@@ -172,7 +174,8 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(_host, template): for every host with any, the hashes of its template texts. ``pages``: _host, _key, html."""
+    """(_host, all, template): for every host of ``LEAST`` pages or more, how many it has and the hashes of its template
+    texts, null without any. ``pages``: _host, _key, html."""
     import pyarrow as pa
 
     schema = T.StructType([T.StructField("_host", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("token", "text", "pages", "n", "vector"))])
@@ -200,7 +203,7 @@ def templates(pages: DataFrame) -> DataFrame:
     sizes = seen.where("token = -1").select("_host", F.col("pages").alias("all"))
     classes = seen.where("text = 0").select("_host", "pages", "n", "vector").distinct()
     own = seen.where("text = 1").join(sizes, "_host").where(F.col("pages") >= SUPPORT * F.col("all")).join(classes, ["_host", "pages", "n", "vector"], "left_semi")
-    return own.groupBy("_host").agg(F.collect_set("token").alias("template"))
+    return sizes.join(own.groupBy("_host").agg(F.collect_set("token").alias("template")), "_host", "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -209,7 +212,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     own = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host(F.col(url_col)).alias("_host"), F.col(html_col).cast("string").alias("html"))
     keyed = own.select("_host", F.xxhash64("_id", "_url").alias("_key"), "html")
-    whole = own.join(templates(keyed), "_host", "left").select("_id", "_url", "html", "template")
+    found = written(templates(keyed), "templates")
+    # hosts with a thousandth of all pages or more, a thousand at most, are broadcast and their pages stay where they
+    # are; so do pages without a host. No other host has more than a thousandth of what the join deals by host.
+    large = found.where(F.col("all") * LARGE >= pages.count()).select("_host", "template", F.lit(True).alias("_large"))
+    large = large.union(pages.sparkSession.createDataFrame([("", None, True)], large.schema))
+    marked = own.join(F.broadcast(large), "_host", "left")
+    small = marked.where("_large IS NULL").drop("template", "_large").join(found.select("_host", "template"), "_host", "left")
+    columns = ("_id", "_url", "html", "template")
+    whole = marked.where("_large").select(*columns).union(small.select(*columns))
     schema = T.StructType([T.StructField("_id", pages.schema[id_col].dataType), T.StructField("_url", pages.schema[url_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
