@@ -27,7 +27,7 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: Texts with characters from U+0180 on go to the library: below, character classes and lower case are proved equal.
 BEYOND = re.compile("[^\x00-ſ]")
 #: Pre-tokens that are merged rather than looked up stay in the memo up to this many; then it starts anew.
-MEMO = 600_000
+MEMO = 300_000
 #: Texts longer than this are scanned pre-token by pre-token, not as one list.
 LONG = 2_000_000
 
