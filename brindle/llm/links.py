@@ -91,3 +91,16 @@ def forest(linked: Callable[[int, np.ndarray], np.ndarray], n: int) -> list[tupl
                 queue += rest[hit].tolist()
                 rest = rest[~hit]
     return edges
+
+
+def stars(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """(root, item) for the pairs (x, y) among n items: every item that has a pair with the least of its component."""
+    label, last = np.arange(n), None
+    while last is None or (label != last).any():
+        last = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+    item = np.flatnonzero(label != np.arange(n))
+    return np.stack([label[item], item], axis=1)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from brindle.llm.common import arrow_rows, components, written
 from brindle.llm.exact import only, text_sha
-from brindle.llm.links import forest, grouped, pairs_of_small, runs, whole_groups
+from brindle.llm.links import forest, grouped, pairs_of_small, runs, stars, whole_groups
 
 SEED = 42
 #: Cells of up to this many rows give all their links, larger ones a spanning forest of them.
@@ -152,11 +152,169 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rooted.join(least, "root").select(id_col, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, groups: int = 2) -> DataFrame:
-    """One row of each component, with all columns of ``docs``: the one with the smallest id, null ids last."""
+# Near-duplicates by similarity: fingerprints propose, shingle sets decide.
+
+#: Fingerprints this far apart are compared: of shingle sets with similarity 0.8 a quarter is further apart than 11 bits,
+#: which the grid of 4 parts finds for sure, and a tenth further than 13, most of which it finds.
+REACH, PARTS = 13, 4
+#: More pairs than this for each item of a cell are a dense group, which is verified as a group instead.
+DENSE = 1
+
+
+def candidates(texts: DataFrame, reach: int = REACH, groups: int = PARTS) -> DataFrame:
+    """(a, b, dense): nodes of ``texts`` (node, fp) whose fingerprints are within ``reach`` bits that a part of the grid brings together.
+
+    Pairs of a cell that has few of them come as they are. Where a cell has many, as among thousands of near copies,
+    come the stars of its components, marked dense: what they connect is to be verified as a group.
+    """
+    import pyarrow as pa
+
+    wide = 64 // groups
+    most = reach // (groups + 1)
+
+    def deal(batches):
+        for part in arrow_rows(batches, 4096):
+            node, own = part.column(0).to_numpy(), part.column(1).to_numpy()
+            for cell, steps, row in descents(popcounts(own.view(np.uint64)), groups, most):
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.full(len(row), steps, dtype=np.int8)), pa.array(own[row]), pa.array(node[row])], names=["cell", "steps", "fp", "node"])
+
+    def near(part):
+        cell, steps, own, node, block, i, j = (part.column(c).to_numpy() for c in ("cell", "steps", "fp", "node", "_block", "_i", "_j"))
+        bits = own.view(np.uint64)
+        place = (popcounts(bits) >> (np.uint64(wide) * (cell.view(np.uint64) >> np.uint64(40)))) & np.uint64((1 << wide) - 1)
+        for start, stop in runs([cell, i, j]):
+            at = [start + np.flatnonzero(steps[start:stop] == s) for s in range(most + 1)]
+            xs, ys = [], []
+            for s in range(most + 1):
+                for t in range(s, most + 1 - s):
+                    left, right = at[s], at[t]
+                    for k in range(0, len(left) if len(right) else 0, 256):
+                        x = left[k : k + 256]
+                        hit = np.bitwise_count(bits[x, None] ^ bits[None, right]) <= reach
+                        if s == t:
+                            hit &= x[:, None] < right[None, :]
+                        px, py = np.nonzero(hit)
+                        xs.append(x[px])
+                        ys.append(right[py])
+            if not xs:
+                continue
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            # a pair meets where neither has stepped down along with the other, and within or across its blocks
+            ok = ((steps[x] == 0) | (place[x] != place[y])) & ((i[x] == j[x]) | (block[x] != block[y]))
+            yield x[ok], y[ok], start, stop, node
+
+    def compare(batches):
+        for part in whole_groups(batches, ["cell", "_i", "_j"]):
+            a, b, dense = [], [], []
+            for x, y, start, stop, node in near(part):
+                if len(x) > DENSE * len(np.unique(np.concatenate([x, y]))):
+                    order = start + np.argsort(node[start:stop], kind="stable")  # the least node is the root, in every cell
+                    back = np.empty(stop - start, dtype=np.int64)
+                    back[order - start] = np.arange(stop - start)
+                    star = stars(back[x - start], back[y - start], stop - start)
+                    x, y, kind = order[star[:, 0]], order[star[:, 1]], True
+                else:
+                    kind = False
+                a.append(node[x])
+                b.append(node[y])
+                dense.append(np.full(len(x), kind))
+            if a:
+                rows = np.unique(np.stack([*(np.concatenate(v) for v in (a, b)), np.concatenate(dense).astype(np.int64)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)], names=["a", "b", "dense"])
+
+    cells = texts.select("node", "fp").mapInArrow(deal, "cell long, steps byte, fp long, node long")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("dense", T.BooleanType())])
+    return grouped(cells, "cell", F.xxhash64("node"), compare, schema, F.min("steps") <= most // 2)
+
+
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """The sorted distinct XXH64 of the shingles, of the whole sequence where it is shorter."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    hashed = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
+    parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if len(words) > shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(hashed, parts), dtype="<u8")).view(np.int64)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> float:
+    """The Jaccard similarity of two sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def similarities(sets: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarities of all pairs of some sets, by products of slices of their incidence matrix."""
+    size = np.array([len(s) for s in sets])
+    key, column = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, np.int64), return_inverse=True)
+    row, both = np.repeat(np.arange(len(sets)), size), np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, len(key) + 2048, 2048))
+    for k in range(len(cuts) - 1):
+        part = np.zeros((len(sets), 2048), dtype=np.float32)
+        part[row[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - 2048 * k] = 1
+        both += part @ part.T
+    return both / np.maximum(1, size[:, None] + size[None, :] - both)
+
+
+def verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between nodes whose shingle sets are similar; ``sets``: node, set."""
+    import pyarrow as pa
+
+    edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def pairs(batches):
+        for part in arrow_rows(batches, 256):
+            a, b, x, y = part.columns
+            ok = np.array([similar(np.asarray(u.values), np.asarray(v.values)) >= least for u, v in zip(x, y, strict=True)], dtype=bool)
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
+
+    def groups_(batches):
+        for part in whole_groups(batches, ["cell", "_i", "_j"]):
+            cell, i, j, block, own = (part.column(c).to_numpy() for c in ("cell", "_i", "_j", "_block", "node"))
+            sets_ = part.column("set").combine_chunks()
+            for start, stop in runs([cell, i, j]):
+                near = similarities([np.asarray(sets_[k].values) for k in range(start, stop)]) >= least
+                if i[start] != j[start]:
+                    near &= block[start:stop, None] != block[None, start:stop]
+                star = stars(*np.nonzero(np.triu(near, 1)), stop - start)
+                yield pa.RecordBatch.from_arrays([pa.array(own[start + star[:, 0]]), pa.array(own[start + star[:, 1]])], names=["a", "b"])
+
+    sparse = found.where("NOT dense").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sparse = sparse.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    dense = components(found.where("dense").select("a", "b"), "dense").select(F.col("root").alias("cell"), "node")
+    dense = grouped(dense, "cell", F.xxhash64("node"), groups_, edge, block=512, payload=sets, by="node")
+    return sparse.select("a", "b", "x", "y").mapInArrow(pairs, edge).union(dense)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns of ``docs``: the one with the smallest id, null ids last.
+
+    Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of ``least`` or more. Fingerprints propose pairs, sets of the texts proposed decide, exactly.
+    """
+    import pyarrow as pa
+
     narrow = docs.select(F.col(id_col).alias("id"), text_sha(F.col(text_col)).alias("sha"), F.col(text_col).alias("text"))
     prints = written(fingerprints(narrow, ["id", "sha"], "text", shingle), "prints")
-    roots = components(links(prints.select("fp").distinct(), radius, groups), "simhash")
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("first"))
-    return only(docs, first.select("first.id", "first.sha"), id_col, text_col)
+    first = prints.groupBy("fp", "sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    first = written(first.select("fp", "sha", "first.*").withColumn("node", F.monotonically_increasing_id()), "first")
+    found = written(candidates(first), "candidates")
+    ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+    wanted = first.join(ends, "node").select("node", F.col("id").alias("_id"), F.col("sha").alias("_sha"))
+
+    def gather(batches):
+        for part in arrow_rows(batches, 256):
+            sets = [shingles(t.as_py(), shingle) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    texts = narrow.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
+    # rows repeated under one id and text give one set
+    sets = texts.select("node", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(gather, "node long, set array<long>")
+    sets = written(sets.dropDuplicates(["node"]), "sets")
+    roots = components(verified(found, sets, least), "simhash")
+    rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("none", "id", "sha")).alias("first"))
+    return only(docs, stays.select("first.id", "first.sha"), id_col, text_col)
