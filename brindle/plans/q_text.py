@@ -38,12 +38,12 @@ def wrap_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", X.sha256(w).alias("wrapped_sha256"), X.payload(w).alias("payload"), (empty & (F.pmod("doc_id", F.lit(3)) == 0)).alias("is_empty"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<explanation> ' || substring(text, 1, 200) || '</explanation> more' WHEN 1 THEN '</explanation><explanation>' || substring(text, 1, 50) WHEN 2 THEN '<explanation>' || substring(text, 1, 50) ELSE ' ' || text || ' ' END AS r FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<explanation> ' || text || '</explanation> more' WHEN 1 THEN '</explanation><explanation>' || text WHEN 2 THEN '<explanation>' || text ELSE ' ' || text || ' ' END AS r FROM documents)
 SELECT doc_id, CASE WHEN regexp_matches(r, '<explanation>(.*?)</explanation>', 's') THEN regexp_replace(regexp_extract(r, '<explanation>(.*?)</explanation>', 1, 's'), '^\s+|\s+$', '', 'g') ELSE r END AS or_text,
 regexp_replace(CASE WHEN instr(r, '<explanation>') > 0 AND instr(r, '</explanation>') > 0 THEN substring(r, instr(r, '<explanation>') + 13, greatest(instr(r, '</explanation>') - instr(r, '<explanation>') - 13, 0)) ELSE r END, '^\s+|\s+$', '', 'g') AS body FROM t""")
 def extract_lenient(spark, d):
     t, n = F.col("text"), F.pmod("doc_id", F.lit(4))
-    r = F.when(n == 0, F.concat(F.lit("<explanation> "), F.substring(t, 1, 200), F.lit("</explanation> more"))).when(n == 1, F.concat(F.lit("</explanation><explanation>"), F.substring(t, 1, 50))).when(n == 2, F.concat(F.lit("<explanation>"), F.substring(t, 1, 50))).otherwise(F.concat(F.lit(" "), t, F.lit(" ")))
+    r = F.when(n == 0, F.concat(F.lit("<explanation> "), t, F.lit("</explanation> more"))).when(n == 1, F.concat(F.lit("</explanation><explanation>"), t)).when(n == 2, F.concat(F.lit("<explanation>"), t)).otherwise(F.concat(F.lit(" "), t, F.lit(" ")))
     return table(spark, d, "documents").select("doc_id", r.alias("r")).select("doc_id", X.payload_or_text(F.col("r")).alias("or_text"), X.body(F.col("r")).alias("body"))
 
 
