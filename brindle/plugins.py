@@ -139,3 +139,21 @@ def canonical_neighbours(ids: list[int], marker: int, sites: int) -> tuple[int,
     require(len(found) == 1, f"neighbours differ: {sorted(found)}")
     return found.pop()
 
+
+
+def token_metadata(tokenizer: Tokenizer, actor: str, sites: int, critic_tail: str | None = None):
+    """Marker, neighbours and critic suffix for a tokenizer and templates, ready to be recorded."""
+    from brindle.meta import Tokens
+
+    marker, at = find_marker(tokenizer)
+    left, right = canonical_neighbours(tokenizer.ids(actor.replace("{injection_char}", marker)), at, sites)
+    return Tokens(marker, at, left, right, stable_suffix(tokenizer, critic_tail) if critic_tail else None)
+
+
+def verify_tokens(meta, tokenizer: Tokenizer, unknown: int | None = None) -> None:
+    """That a tokenizer still gives what was recorded: one known id for the marker, the same sites and neighbours."""
+    require(meta.tokens is not None, f"{meta.dataset_id} records no tokens")
+    ids = tokenizer.ids(meta.tokens.marker)
+    require(ids == [meta.tokens.marker_id] and ids[0] != unknown, f"the marker is {ids} now, {meta.tokens.marker_id} was recorded")
+    found = canonical_neighbours(tokenizer.ids(meta.templates["actor"].replace("{injection_char}", meta.tokens.marker)), ids[0], len(meta.depths))
+    require(found == (meta.tokens.left_id, meta.tokens.right_id), f"neighbours are {found} now")

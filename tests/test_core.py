@@ -338,3 +338,40 @@ def test_metrics_edges(spark):
     assert [r["advantage"] for r in metrics.advantages(df, "g", "r").orderBy("g", "r").collect()] == [-1.0, 1.0, 0.0]
     few = spark.createDataFrame([(1, 1.0, 1.0)], "k long, a double, b double")
     assert metrics.path_agreement(few, "a", "b", "k").first()["agree"] is None
+
+
+def test_token_metadata_and_drift():
+    from brindle.plugins import token_metadata, verify_tokens
+
+    tok = WordTokenizer()
+    actor = "See <concept>{injection_char}</concept> and <concept>{injection_char}</concept>."
+    tokens = token_metadata(tok, actor, 2, "</text> <summary>")
+    meta = DatasetMeta("x", "ar_sft", 1, depths=[0, 24], tokens=tokens, templates={"actor": actor, "critic": "{explanation}"})
+    verify_tokens(meta, tok)
+    other = WordTokenizer()
+    other.ids("shifts all ids")
+    with pytest.raises(ContractError):
+        verify_tokens(meta, other)
+    with pytest.raises(ContractError):
+        verify_tokens(DatasetMeta("x", "base", 1, depths=[0]), tok)
+
+
+def test_greedy_files(spark, sf_dir):
+    from brindle.operators.embedding import embedded, greedy_files
+    from brindle.plans.catalog import QUERIES
+
+    parts = {}
+    for r in spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").collect():
+        parts.setdefault(r["p_brand"], []).append((r["p_partkey"], r["p_size"]))
+    want = []
+    for brand, items in parts.items():
+        file, used = 0, 0
+        for key, size in items:
+            if used and used + size > 100:
+                file, used = file + 1, 0
+            used += size
+            want.append((brand, key, file))
+    assert values(QUERIES["tensor_files"](spark, sf_dir)) == sorted(want)
+    assert greedy_files(spark.read.parquet(f"{sf_dir}/part.parquet").where("false"), "p_brand", "p_partkey", "p_size", 9).count() == 0
+    with pytest.raises(Exception, match="no vector for token 5"):
+        embedded(spark.createDataFrame([(5,)], "t long"), "t", spark.createDataFrame([(1, [1.0])], "k long, v array<double>"), "k", "v").collect()
