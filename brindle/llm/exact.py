@@ -78,7 +78,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
     found = written(identities(docs, id_col, text_col, block, hashed), "identities")
-    sizes = found.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # written first: the join can then split a group of many copies, which an aggregate beside it would forbid
+    sizes = written(found.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size")), "sizes")
     each = found.join(sizes, ["level", "name"]).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     return each.select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
