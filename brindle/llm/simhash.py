@@ -146,10 +146,14 @@ def links(distinct: DataFrame, radius: int = 3, groups: int = 2, fp: str = "fp")
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, groups: int = 2) -> DataFrame:
     """One row per row of ``docs``: id, fp (signed 64-bit), component_id (the smallest id of the component)."""
     prints = written(fingerprints(docs, [id_col], text_col, shingle), "prints")
-    roots = components(links(prints.select("fp").distinct(), radius, groups), "simhash")
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select(F.col(id_col), "fp", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    return rooted.join(least, "root").select(id_col, "fp", "component_id")
+    least = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "least")
+    roots = components(links(least, radius, groups), "simhash")
+    linked = least.join(roots, least["fp"] == roots["node"]).select("fp", "least", "root")
+    linked = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    alone = least.join(roots, least["fp"] == roots["node"], "left_anti").select("fp", F.col("least").alias("component_id"))
+    # one row a fingerprint, written first: the join with all documents can then split a fingerprint of many copies
+    of = written(linked.union(alone), "of")
+    return prints.join(of, "fp").select(id_col, "fp", "component_id")
 
 
 # Near-duplicates by similarity: fingerprints propose, shingle sets decide.
