@@ -101,7 +101,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     return roots
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[str], salt: Column, rank: str = "rank", per_bucket: int = 50_000) -> DataFrame:
+def salted_rank(df: DataFrame, keys: list[str], order: list[str], salt: Column, rank: str = "rank", per_bucket: int = 1000) -> DataFrame:
     """Add ``rank``: 0, 1, ... within ``keys``, a key's rows dealt by ``salt`` over count / per_bucket buckets.
 
     No task ranks more than about ``per_bucket`` rows of one key, however hot it is: each bucket starts where the
