@@ -39,7 +39,8 @@ LARGE = 1000
 #: Containers whose text is links to this share or more are menus.
 LINKED = 0.5
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|</?[a-zA-Z][^>]*(?:>|$)""", re.DOTALL)
-MARK = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+MARK = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+MARKS = ("class", "id", "role", "hidden", "aria-hidden", "style")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.IGNORECASE) for n in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,10 +52,12 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 #: Elements, and words of class, id or role, that say that their text is not the article.
 OTHER = frozenset("head nav footer aside form menu button select input dialog noscript template iframe svg script style textarea title object".split())
 OTHER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar "
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle adbox adslot sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar "
     "footer bottombar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments commentlist reply replies respond disqus widget widgets toolbar pagination pager search copyright skip legal disclaimer contentinfo complementary".split()
 )
+#: Inside an article a header holds its title, not the site's.
+INNER_WORDS = OTHER_WORDS - {"header", "masthead", "topbar"}
 
 
 class Page:
@@ -111,14 +114,14 @@ class Page:
             self.flush()
         if name in VOID:
             return
-        marks = [(k.lower(), v.strip("\"'")) for k, v in MARK.findall(attributes)] if attributes else []
+        marks = [(k.lower(), v.strip("\"'")) for k, v in MARK.findall(attributes) if k.lower() in MARKS] if attributes else []
         label = name + "".join(f".{v}" for k, v in marks if k == "class")
         _, above, article, other = self.stack[-1]
         path = xxhash.xxh64_intdigest(f"{above}/{label}") >> 1
         words = {w.lower() for k, v in marks if k in ("class", "id", "role") for w in WORD.findall(v)} if marks else ()
-        hidden = any(k == "hidden" or k == "aria-hidden" and v.lower() == "true" for k, v in marks)
+        hidden = any(k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and "display:none" in v.replace(" ", "").lower() for k, v in marks)
         top = name in ("html", "body", "article", "main")  # a page's own classes say how it looks, not what it is
-        other = other or hidden or name in OTHER or (name == "header" and not article) or (not top and bool(words) and not OTHER_WORDS.isdisjoint(words))
+        other = other or hidden or name in OTHER or (name == "header" and not article) or (not top and bool(words) and not (INNER_WORDS if article else OTHER_WORDS).isdisjoint(words))
         article = article or name in ("article", "main") or "main" in words and any(k == "role" for k, _ in marks)
         self.stack.append((name, path, article, other))
         self.open[name] = self.open.get(name, 0) + 1
