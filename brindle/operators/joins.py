@@ -61,10 +61,10 @@ def key_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def best_prefix(keys: DataFrame, targets: DataFrame, key: str, target: str, prefixes: list[str]) -> DataFrame:
     """The prefix whose removal makes most distinct keys targets; the first in order on a tie; '' always competes."""
-    tried = [keys.where(F.col(key).startswith(p)).select(F.lit(i).alias("ordinal"), F.lit(p).alias("prefix")).limit(1) if p else keys.sparkSession.createDataFrame([(i, "")], "ordinal int, prefix string") for i, p in enumerate(prefixes)]
-    names = reduce(DataFrame.union, tried)
-    bare = F.when(F.col(key).startswith(F.col("prefix")), F.expr(f"substring({key}, length(prefix) + 1)")).otherwise(F.col(key))
-    mapped = keys.select(key).distinct().join(F.broadcast(names)).select("ordinal", "prefix", bare.alias("_bare")).distinct()
+    seen = keys.agg(*[F.coalesce(F.max(F.col(key).startswith(p)), F.lit(False)).alias(f"p{i}") for i, p in enumerate(prefixes)]).first()
+    tried = [(i, p) for i, p in enumerate(prefixes) if not p or seen[i]]
+    bare = [F.struct(F.lit(i).alias("ordinal"), F.lit(p).alias("prefix"), F.when(F.col(key).startswith(p), F.substring(F.col(key), F.lit(len(p) + 1), F.length(key))).otherwise(F.col(key)).alias("_bare")) for i, p in tried]
+    mapped = keys.select(key).distinct().select(F.explode(F.array(*bare)).alias("x")).select("x.*").distinct()
     hits = mapped.join(targets.select(F.col(target).alias("_bare")).distinct().withColumn("_hit", F.lit(1)), "_bare", "left")
     counts = hits.groupBy("ordinal", "prefix").agg(F.count("_hit").alias("n_matched"))
     best = F.struct(F.col("n_matched"), -F.col("ordinal"))

@@ -89,13 +89,32 @@ def cursor(draws: DataFrame, index: str, size: int) -> DataFrame:
     return draws.withColumn("epoch", F.floor(F.col(index) / size).cast("long")).withColumn("place", F.pmod(F.col(index), F.lit(size)).cast("long"))
 
 
+def at_ranks(df: DataFrame, value: str, key: str, start: int, n: int) -> DataFrame:
+    """The rows at ranks start .. start + n - 1 in the order of ``value`` descending, nulls last, then an integer key.
+
+    Counts by distinct value, in buckets between approximate quantiles, tell which values the ranks fall on; only
+    their rows are ranked, by value and block of keys. No task sorts the table, however many rows tie.
+    """
+    cuts = df.agg(F.percentile_approx(value, [i / 256 for i in range(1, 256)], 2000)).first()[0] or []
+    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c > F.col(value)))
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.when(F.col(value).isNull(), 1 << 20).otherwise(above))
+    before = W.Window.orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = counts.groupBy("_bucket").agg(F.sum("_n").alias("_t")).select("_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    inside = W.Window.partitionBy("_bucket").orderBy(F.desc_nulls_last(value)).rowsBetween(W.Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, "_bucket").select(F.col(value).alias("_value"), (F.col("_start") + F.col("_in")).alias("_from"), "_n")
+    hit = placed.where((F.col("_from") < start + n) & (F.col("_from") + F.col("_n") > start))
+    rows = df.join(hit, df[value].eqNullSafe(hit["_value"]))
+    rows = ranked(rows, F.struct(F.col("_from"), F.floor(F.col(key) / 4096)), [F.col("_from"), F.col(key)], "_rank")
+    first = hit.agg(F.min("_from")).scalar()
+    return rows.where((F.col("_rank") + first).between(start, start + n - 1)).select(*df.columns)
+
+
 def top_middle_bottom(df: DataFrame, reward: str, key: str, top: int, middle: int, bottom: int) -> DataFrame:
     """Rows at the top, around the middle and at the bottom by reward, each in the first section that has it."""
-    ends = df.orderBy(F.desc(reward), F.col(key)).limit(top).select(key, F.lit(0).alias("s"))
-    lows = df.orderBy(F.col(reward), F.desc(key)).limit(bottom).select(key, F.lit(2).alias("s"))
     total = df.count()
-    start = max(0, total // 2 - middle // 2)
-    mids = df.orderBy(F.desc(reward), F.col(key)).limit(start + middle).select(key, reward).orderBy(F.col(reward), F.desc(key)).limit(max(0, min(middle, total - start))).select(key, F.lit(1).alias("s"))
+    ends = df.orderBy(F.desc_nulls_last(reward), F.col(key)).limit(top).select(key, F.lit(0).alias("s"))
+    lows = df.orderBy(F.asc_nulls_first(reward), F.desc(key)).limit(bottom).select(key, F.lit(2).alias("s"))
+    mids = at_ranks(df, reward, key, max(0, total // 2 - middle // 2), middle).select(key, F.lit(1).alias("s"))
     picked = ends.union(mids).union(lows).groupBy(key).agg(F.min("s").alias("s"))
     names = F.when(F.col("s") == 0, "top").when(F.col("s") == 1, "middle").otherwise("bottom")
     return df.join(picked, key).withColumn("section", names).drop("s")

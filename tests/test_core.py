@@ -146,6 +146,10 @@ def test_top_middle_bottom(spark):
     got = {r["id"]: r["section"] for r in ordering.top_middle_bottom(df, "r", "id", 2, 4, 2).collect()}
     assert got == {0: "top", 3: "top", 5: "middle", 7: "middle", 11: "middle", 4: "middle", 2: "bottom", 8: "bottom"}
     assert ordering.top_middle_bottom(df, "r", "id", 20, 0, 0).count() == 12
+    ties = spark.range(9000).select("id", F.when(F.col("id") % 9 == 0, F.col("id").cast("double")).when(F.col("id") % 9 > 1, 1.5).alias("r"))
+    want = sorted(((-r["r"] if r["r"] is not None else float("inf"), r["id"]) for r in ties.collect()))
+    for start, n in ((0, 3), (998, 5), (4497, 6), (7998, 4), (8997, 9)):
+        assert sorted(r["id"] for r in ordering.at_ranks(ties, "r", "id", start, n).collect()) == sorted(i for _, i in want[start : start + n])
 
 
 def test_last_wins_and_match_rate(spark):
