@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import exact
+from brindle.llm import capfilters, exact
 
 
 def tokenizer_file(name: str) -> str:
@@ -97,4 +97,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact.ORACLE, "op6_embedding_dedup": capfilters.ORACLE}
