@@ -17,16 +17,18 @@ from pyspark.sql import types as T
 BLOCK = 2048
 
 
-def grouped(cells: DataFrame, cell: str, salt: Column, fn: Callable, schema: T.StructType, useful: Column | None = None, block: int = BLOCK, payload: DataFrame | None = None, by: str | None = None) -> DataFrame:
+def grouped(cells: DataFrame, cell: str, salt: Column, fn: Callable, schema: T.StructType, useful: Column | None = None, block: int = BLOCK, payload: DataFrame | None = None, by: str | None = None, few_cells: bool = False) -> DataFrame:
     """Give each pair of blocks of each cell of two or more rows to ``fn(batches)``.
 
     ``cells``: rows with a column ``cell``; ``salt`` must be one value for equal items. ``useful``: an aggregate that
     must hold of a cell. ``payload``: what the comparison needs beside the cells, joined by column ``by`` once the cells of
-    a single row are gone. ``fn`` gets Arrow batches sorted by (cell, _i, _j), ``_block`` the row's own block; in a group
+    a single row are gone. ``few_cells``: there can be no more than some ten thousand cells, whatever the data, so that
+    their sizes may be broadcast. ``fn`` gets Arrow batches sorted by (cell, _i, _j), ``_block`` the row's own block; in a group
     (cell, i, j) with i < j only pairs across the two blocks count, with i = j those inside.
     """
     sizes = cells.groupBy(cell).agg(F.count(F.lit(1)).alias("_n"), (F.lit(True) if useful is None else useful).alias("_useful"))
     sizes = sizes.where("_n > 1 AND _useful").select(F.col(cell).alias("_cell"), F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    sizes = F.broadcast(sizes) if few_cells else sizes
     rows = cells.join(sizes, F.col(cell) == F.col("_cell")).drop("_cell").withColumn("_block", F.pmod(salt, F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.when(F.col("_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))))
     rows = rows.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_blocks", "_other")

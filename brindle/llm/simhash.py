@@ -35,20 +35,27 @@ SMALL = 16
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """Majority of each bit over the XXH64 of all shingles of ``shingle`` words, A-Z in lower case, repeats included."""
+    return int(majority(hashed_shingles(text, shingle)))
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that most of some 64-bit hashes have."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def hashed_shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of all shingles, repeats included, of the whole sequence where it is shorter."""
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     hashed = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
-    shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if len(words) > shingle else [b" ".join(words)]
-    total, n = np.zeros(64, dtype=np.int64), 0
-    hashes = np.fromiter(map(hashed, shingles), dtype="<u8", count=max(1, len(words) - shingle + 1))
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(part)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+    parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if len(words) > shingle else [b" ".join(words)]
+    return np.fromiter(map(hashed, parts), dtype="<u8", count=max(1, len(words) - shingle + 1))
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3, name: str = "fp") -> DataFrame:
@@ -161,6 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Fingerprints this far apart are compared: of shingle sets with similarity 0.8 a quarter is further apart than 11 bits,
 #: which the grid of 4 parts finds for sure, and a tenth further than 13, most of which it finds.
 REACH, PARTS = 13, 4
+#: The second fingerprint's reach, and an odd number that stirs hashes for it (the golden ratio in 64 bits).
+REACH2, STIR = 20, 0x9E3779B97F4A7C15
 #: More pairs than this for each item of a cell are a dense group, which is verified as a group instead.
 DENSE = 1
 
@@ -228,19 +237,46 @@ def candidates(texts: DataFrame, reach: int = REACH, groups: int = PARTS) -> Dat
 
     cells = texts.select("node", "fp").mapInArrow(deal, "cell long, steps byte, fp long, node long")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("dense", T.BooleanType())])
-    return grouped(cells, "cell", F.xxhash64("node"), compare, schema, F.min("steps") <= most // 2)
+    # the cells are the counts of PARTS times so many segments: 4 x 3^8 here
+    few = groups * 3 ** (wide // 2) <= 100_000
+    return grouped(cells, "cell", F.xxhash64("node"), compare, schema, F.min("steps") <= most // 2, few_cells=few)
 
 
 def shingles(text: bytes | None, shingle: int) -> np.ndarray:
-    """The sorted distinct XXH64 of the shingles, of the whole sequence where it is shorter."""
-    import xxhash
+    """The sorted distinct XXH64 of the shingles."""
+    return np.unique(hashed_shingles(text, shingle)).view(np.int64)
 
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    hashed = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
-    parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if len(words) > shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(hashed, parts), dtype="<u8")).view(np.int64)
+
+def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int) -> DataFrame:
+    """The columns ``keep``, the fingerprint, a second one from the same hashes stirred, and the size of the shingle set."""
+    import pyarrow as pa
+
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in ("fp", "fp2", "n"))])
+
+    def run(batches):
+        for part in arrow_rows(batches):
+            rows = np.zeros((part.num_rows, 3), dtype=np.int64)
+            for k, t in enumerate(part.column(len(keep))):
+                h = hashed_shingles(t.as_py(), shingle)
+                stirred = (h ^ (h >> np.uint64(29))) * np.uint64(STIR)
+                stirred ^= stirred >> np.uint64(32)
+                rows[k] = majority(h).view(np.int64), majority(stirred).view(np.int64), len(np.unique(h))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(rows[:, c]) for c in range(3))], names=schema.names)
+
+    return docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("_text")).mapInArrow(run, schema)
+
+
+def plausible(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The candidates that a second fingerprint and the sizes of the sets allow: far fewer, before any set is moved.
+
+    A similarity of ``least`` needs sizes within that ratio; of pairs that have it, some three in ten thousand are
+    further apart than ``REACH2`` bits in the second fingerprint, of unrelated pairs all but two in a thousand.
+    """
+    own = texts.select("node", "fp2", "n")
+    left, right = own.select(F.col("node").alias("a"), F.col("fp2").alias("p"), F.col("n").alias("m")), own.select(F.col("node").alias("b"), F.col("fp2").alias("q"), F.col("n").alias("o"))
+    both = found.join(left, "a").join(right, "b")
+    near = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= REACH2
+    return both.where(near & (F.least("m", "o") >= F.lit(least) * F.greatest("m", "o"))).select("a", "b")
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> float:
@@ -265,7 +301,7 @@ def similarities(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) between nodes whose shingle sets are similar; ``sets``: node, set."""
+    """Edges (a, b) between nodes whose shingle sets are similar; ``found``: a, b, dense; ``sets``: node, set."""
     import pyarrow as pa
 
     edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -287,8 +323,7 @@ def verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 star = stars(*np.nonzero(np.triu(near, 1)), stop - start)
                 yield pa.RecordBatch.from_arrays([pa.array(own[start + star[:, 0]]), pa.array(own[start + star[:, 1]])], names=["a", "b"])
 
-    sparse = found.where("NOT dense").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sparse = sparse.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    sparse = found.where("NOT dense").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     dense = components(found.where("dense").select("a", "b"), "dense").select(F.col("root").alias("cell"), "node")
     dense = grouped(dense, "cell", F.xxhash64("node"), groups_, edge, block=512, payload=sets, by="node")
     return sparse.select("a", "b", "x", "y").mapInArrow(pairs, edge).union(dense)
@@ -302,10 +337,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     import pyarrow as pa
 
     narrow = docs.select(F.col(id_col).alias("id"), text_sha(F.col(text_col)).alias("sha"), F.col(text_col).alias("text"))
-    prints = written(fingerprints(narrow, ["id", "sha"], "text", shingle), "prints")
-    first = prints.groupBy("fp", "sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
-    first = written(first.select("fp", "sha", "first.*").withColumn("node", F.monotonically_increasing_id()), "first")
-    found = written(candidates(first), "candidates")
+    prints = written(sketches(narrow, ["id", "sha"], "text", shingle), "prints")
+    first = prints.groupBy("fp", "fp2", "n", "sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    first = written(first.select("fp", "fp2", "n", "sha", "first.*").withColumn("node", F.monotonically_increasing_id()), "first")
+    proposed = written(candidates(first), "candidates")
+    pairs = proposed.where("NOT dense").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = written(plausible(pairs, first, least).withColumn("dense", F.lit(False)).union(proposed.where("dense")), "plausible")
     ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
     wanted = first.join(ends, "node").select("node", F.col("id").alias("_id"), F.col("sha").alias("_sha"))
 

@@ -1,5 +1,6 @@
 """Exact, near and vector duplicates, packing, mixing, pages and the pipeline: against brute force, and their edges."""
 
+import functools
 import hashlib
 import re
 import struct
@@ -97,12 +98,16 @@ def test_exact_edges(spark):
     assert kept.columns == [c.split()[0] for c in DOC.split(", ")] and kept.count() == len(exact_by_hand(EXACT))
 
 
-def test_exact_query_against_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
-    want = sorted(con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({ORACLE_SQL['op5_exact_dedup']})").fetchall())
-    got = QUERIES["op5_exact_dedup"](spark, sf_dir).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    assert sorted(tuple(r) for r in got.collect()) == want
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall())
 
 
 # SimHash
@@ -151,7 +156,7 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     rng = np.random.default_rng(9)
     fps = np.unique(rng.integers(0, 2**10, 300, dtype=np.uint64))  # one dense group
     df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
-    monkeypatch.setattr(links.grouped, "__defaults__", (None, 16, None, None))
+    monkeypatch.setattr(simhash, "grouped", functools.partial(links.grouped, block=16))
     edges = simhash.links(df).collect()
     at = {int(x): i for i, x in enumerate(fps)}
     want = roots_of(len(fps), [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 3)])
@@ -368,6 +373,8 @@ def test_main_blocks():
     one = "<nav><a>m</a></nav><header>site</header><article><header><h1>Title &amp; more</h1></header><p>One <b>bo</b>ld<br>two<p>three&nbsp;x<ul><li>i<li>j</ul><aside>side</aside><form>f<input></form><section class='comments'><p>me!</p></section><div class='article-comments'>me too</div></article><footer>f</footer>"
     assert pages.main_blocks(one) == ["Title & more", "One bold", "two", "three x", "i", "j"]
     assert pages.main_blocks("<div class='cookie-notice'>c</div><div><a>l1</a> <a>l2</a></div><p>text <a>link</a> more words") == ["text link more words"]
+    inner = "<div class='site-header'>site</div><main><div class='article-header'><h1>T</h1></div><p data-x='is hidden id=ad'>a</p><p hidden>b</p><div style='display: none'>c</div><div class='cookieBanner'>d</div></main>"
+    assert pages.main_blocks(inner) == ["T", "a"]
     for broken in (None, "", "<", "<p", "<p>a<", "<!-- open <p>x", "<script>never closed", "</p></div>", "<p title='>x</p>", "<div " * 3, "&#x41;&bogus;"):
         assert isinstance(pages.main_blocks(broken), list)
     assert pages.main_blocks("<div>" * 20_000 + "deep") == ["deep"]
