@@ -352,9 +352,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     texts = narrow.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
-    # rows repeated under one id and text give one set
     sets = texts.select("node", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(gather, "node long, set array<long>")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
+    if not prints.groupBy("id", "sha").count().where("count > 1").isEmpty():  # rows repeated under one id and text: one set
+        sets = sets.dropDuplicates(["node"])
+    sets = written(sets, "sets")
     roots = components(verified(found, sets, least), "simhash")
     rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = rooted.groupBy("root").agg(F.min(F.struct("none", "id", "sha")).alias("first"))
