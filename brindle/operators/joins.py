@@ -39,8 +39,9 @@ def cache_misses(rows: DataFrame, text: str, cache: DataFrame) -> DataFrame:
 def exact_key_join(rows: DataFrame, prior: DataFrame, keys: list[str], ordinal: str, value: str, least: float | None = LEAST_MATCH) -> DataFrame:
     """Inner join with a prior output; below ``least`` matched rows it raises before anything is written."""
     found = rows.join(last_wins(prior, keys, ordinal, value), keys, "inner")
-    if least is not None:
-        total, matched = rows.count(), found.count()
+    if least is not None:  # one pass over the keys
+        rate = match_rate(rows, prior, keys).first()
+        matched, total = rate["n_matched"], rate["n_rows"]
         if not total or matched / total < least:
             raise ValueError(f"only {matched} of {total} rows match; at least {least:.0%} must")
     return found

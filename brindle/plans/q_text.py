@@ -131,7 +131,8 @@ def told(df, prompt="prompt"):
 def training_rows(spark, d):
     from brindle.plans.stages import Explained
 
-    rows = exact_key_join(spark, d).join(base(spark, d).select("doc_id", "n_raw_tokens", "v24"), ["doc_id", "n_raw_tokens"])
+    rows = base(spark, d)
+    rows = joins.exact_key_join(rows.select("doc_id", "n_raw_tokens", "v24"), prior(spark, d, rows), ["doc_id", "n_raw_tokens"], "ordinal", "explanation")
     v = vectors(spark, d).select(F.col("vec_id").alias("v24"), F.col("embedding").alias("activation_block_24"))
     return Explained(rows.join(v, "v24").withColumnRenamed("explanation", "api_explanation").drop("v24"))
 

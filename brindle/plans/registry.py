@@ -49,13 +49,16 @@ s AS (SELECT doc_id, CASE WHEN place < floor(total * 0.25::DOUBLE) THEN 'av_sft'
   FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('{SEED}|' || doc_id), doc_id) - 1 AS place, (SELECT count(*) FROM u) AS total FROM u))"""
 
 
-def documents(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
+def documents(spark, d, docs: DataFrame | None = None) -> DataFrame:
+    docs = table(spark, d, "documents") if docs is None else docs
     return docs.select(F.col("doc_id").alias("n"), F.concat(F.lit("documents:train:"), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.split("text", r"\s+").alias("tokens"))
 
 
 def positions(spark, d) -> DataFrame:
-    return documents(spark, d).select("n", "doc_id", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    from brindle.sources.datasets import spread
+
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return documents(spark, d, docs).select("n", "doc_id", F.posexplode("tokens").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def eligible(spark, d) -> DataFrame:

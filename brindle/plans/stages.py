@@ -12,6 +12,7 @@ from brindle.functions import vectors as V
 from brindle.meta import Checkpoint
 from brindle.operators import joins, ordering
 from brindle.operators.contracts import require, require_columns
+from brindle.sources.datasets import spread
 
 INJECT = "<INJECT>"
 PLACE = "{injection_char}"
@@ -79,7 +80,7 @@ def build_training(explained: Explained, stage: str, *, actor: str | None = None
 def extract_base(corpus: DataFrame, extractor, *, depths: list[int], positions: int, seed: int, specials: list[str], first: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stage 0: ``positions`` keyed positions a document with their bundle; ``extractor`` gives (doc_id, tokens) and looks
     up vectors, see :class:`brindle.plugins.Extractor`."""
-    tokens = extractor.tokens(corpus.select(doc_id, text), doc_id, text)
+    tokens = extractor.tokens(spread(corpus.select(doc_id, text)), doc_id, text)
     places = tokens.select(doc_id, F.posexplode("tokens").alias("pos", "token")).where((F.col("pos") >= first) & ~F.col("token").isin(*specials))
     drawn = ordering.keyed_sample(places.withColumn("pos", F.col("pos").cast("long")), [doc_id], "pos", seed, positions)
     rows = extractor.attach(drawn, doc_id, "pos", depths)

@@ -11,6 +11,12 @@ from brindle.operators.contracts import require, require_slice
 from brindle.operators.ordering import id_ranked
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan would use fewer, as with one small file; otherwise as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus_slice(corpus: DataFrame, key: str, start: int, length: int, name: str = "row_index") -> DataFrame:
     """Rows start .. start + length - 1 in the order of an integer key; beyond the corpus is an error."""
     require_slice(start, length)
