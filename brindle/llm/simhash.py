@@ -248,7 +248,8 @@ def shingles(text: bytes | None, shingle: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int) -> DataFrame:
-    """The columns ``keep``, the fingerprint, a second one from the same hashes stirred, and the size of the shingle set."""
+    """The columns ``keep``, the fingerprint of the distinct shingles, a second one from the same hashes stirred, and how
+    many they are. Repeats don't count, as they don't in the similarity that decides."""
     import pyarrow as pa
 
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in ("fp", "fp2", "n"))])
@@ -257,10 +258,10 @@ def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int) -> D
         for part in arrow_rows(batches):
             rows = np.zeros((part.num_rows, 3), dtype=np.int64)
             for k, t in enumerate(part.column(len(keep))):
-                h = hashed_shingles(t.as_py(), shingle)
+                h = np.unique(hashed_shingles(t.as_py(), shingle))
                 stirred = (h ^ (h >> np.uint64(29))) * np.uint64(STIR)
                 stirred ^= stirred >> np.uint64(32)
-                rows[k] = majority(h).view(np.int64), majority(stirred).view(np.int64), len(np.unique(h))
+                rows[k] = majority(h).view(np.int64), majority(stirred).view(np.int64), len(h)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(rows[:, c]) for c in range(3))], names=schema.names)
 
     return docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("_text")).mapInArrow(run, schema)

@@ -207,6 +207,16 @@ def test_one_of_each_by_similarity(spark):
     assert [i for i in kept if i >= 120] == [120]
 
 
+def test_repeats_do_not_move_sketches(spark):
+    words = [f"w{i}" for i in range(200)]
+    line = " ".join(f"r{i}" for i in range(12))
+    rows = [(k, " ".join([*words, *[line] * k]), "s") for k in (2, 5, 20, 60)]  # from two on, the sets of shingles are equal
+    assert len({frozenset(word_set(t)) for _, t, _ in rows}) == 1
+    sketches = simhash.sketches(docs(spark, rows), ["doc_id"], "text", 5).collect()
+    assert len({(r["fp"], r["fp2"], r["n"]) for r in sketches}) == 1
+    assert [r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()] == [2]
+
+
 def test_similarities_agree():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 3000, n)) for n in (0, 1, 50, 2500, 2500, 2600)]
