@@ -18,6 +18,7 @@ table gives an empty table; columns other than id and text are not read.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -163,15 +164,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select(id_col, "fp", "component_id")
 
 
-# Near-duplicates by similarity: fingerprints propose, shingle sets decide.
+# Near-duplicates by similarity: fingerprints and rare shingles propose, shingle sets decide.
 
 #: Fingerprints this far apart are compared: of shingle sets with similarity 0.8 a quarter is further apart than 11 bits,
 #: which the grid of 4 parts finds for sure, and a tenth further than 13, most of which it finds.
 REACH, PARTS = 13, 4
 #: The second fingerprint's reach, and an odd number that stirs hashes for it (the golden ratio in 64 bits).
 REACH2, STIR = 20, 0x9E3779B97F4A7C15
+#: Bounds on similarities are loosened by this much, for rounding.
+SLACK = 1e-9
 #: More pairs than this for each item of a cell are a dense group, which is verified as a group instead.
 DENSE = 1
+#: Documents of the sample that tells common shingles, and in how many of them one stands at least to be common.
+SAMPLE, COMMON = 8192, 4
+
+
+PROPOSED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("dense", T.BooleanType())])
+
+
+def thinned(x: np.ndarray, y: np.ndarray, start: int, stop: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The pairs of a cell's rows start..stop as they are where they are few, else the stars of what they connect; and which."""
+    if len(x) <= DENSE * len(np.unique(np.concatenate([x, y]))):
+        return x, y, False
+    order = start + np.argsort(node[start:stop], kind="stable")  # the least node is the root, in every cell
+    back = np.empty(stop - start, dtype=np.int64)
+    back[order - start] = np.arange(stop - start)
+    star = stars(back[x - start], back[y - start], stop - start)
+    return order[star[:, 0]], order[star[:, 1]], True
+
+
+def proposals(a: list[np.ndarray], b: list[np.ndarray], dense: list[np.ndarray]):
+    """A batch of the distinct proposals, columns as in PROPOSED."""
+    import pyarrow as pa
+
+    rows = np.unique(np.stack([*(np.concatenate(v) for v in (a, b)), np.concatenate(dense).astype(np.int64)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)], names=PROPOSED.names)
 
 
 def candidates(texts: DataFrame, reach: int = REACH, groups: int = PARTS) -> DataFrame:
@@ -220,26 +247,17 @@ def candidates(texts: DataFrame, reach: int = REACH, groups: int = PARTS) -> Dat
         for part in whole_groups(batches, ["cell", "_i", "_j"]):
             a, b, dense = [], [], []
             for x, y, start, stop, node in near(part):
-                if len(x) > DENSE * len(np.unique(np.concatenate([x, y]))):
-                    order = start + np.argsort(node[start:stop], kind="stable")  # the least node is the root, in every cell
-                    back = np.empty(stop - start, dtype=np.int64)
-                    back[order - start] = np.arange(stop - start)
-                    star = stars(back[x - start], back[y - start], stop - start)
-                    x, y, kind = order[star[:, 0]], order[star[:, 1]], True
-                else:
-                    kind = False
+                x, y, kind = thinned(x, y, start, stop, node)
                 a.append(node[x])
                 b.append(node[y])
                 dense.append(np.full(len(x), kind))
             if a:
-                rows = np.unique(np.stack([*(np.concatenate(v) for v in (a, b)), np.concatenate(dense).astype(np.int64)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)], names=["a", "b", "dense"])
+                yield proposals(a, b, dense)
 
     cells = texts.select("node", "fp").mapInArrow(deal, "cell long, steps byte, fp long, node long")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("dense", T.BooleanType())])
     # the cells are the counts of PARTS times so many segments: 4 x 3^8 here
     few = groups * 3 ** (wide // 2) <= 100_000
-    return grouped(cells, "cell", F.xxhash64("node"), compare, schema, F.min("steps") <= most // 2, few_cells=few)
+    return grouped(cells, "cell", F.xxhash64("node"), compare, PROPOSED, F.min("steps") <= most // 2, few_cells=few)
 
 
 def shingles(text: bytes | None, shingle: int) -> np.ndarray:
@@ -247,22 +265,58 @@ def shingles(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(hashed_shingles(text, shingle)).view(np.int64)
 
 
-def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int) -> DataFrame:
-    """The columns ``keep``, the fingerprint of the distinct shingles, a second one from the same hashes stirred, and how
-    many they are. Repeats don't count, as they don't in the similarity that decides."""
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of ``COMMON`` or more documents of a sample, sorted, and for each the log of their number, rounded down.
+
+    They only order shingles, the rare before the common: any order that is one for all texts finds all pairs, so the
+    sample decides how many texts meet in vain and nothing else. At most ``SAMPLE`` / ``COMMON`` texts' worth come back.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for part in arrow_rows(batches):
+            found = [np.unique(hashed_shingles(t.as_py(), shingle)) for t in part.column(0)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+    share = F.pmod(F.xxhash64(id_col, text_col), F.lit(max(1, docs.count() // SAMPLE))) == 0
+    seen = docs.where(share).select(F.col(text_col).cast("string").cast("binary").alias("_text")).mapInArrow(run, "h long").groupBy("h").count()
+    rows = seen.where(F.col("count") >= COMMON).toPandas()
+    h, level = rows["h"].to_numpy(dtype=np.int64).view(np.uint64), np.log2(rows["count"].to_numpy(dtype=float)).astype(np.int8)
+    order = np.argsort(h)
+    return h[order], level[order]
+
+
+def prefix(h: np.ndarray, least: float, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Of the sorted distinct shingles of a text, rare ones first, as many that no text with a similarity of ``least`` lacks
+    them all: two such texts share one that stands in the prefix of both."""
+    if not len(h):
+        return h
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        rank = np.where(common[at] == h, level[at], 0)
+        h = h[np.argsort(rank, kind="stable")]
+    return h[: len(h) - math.ceil(least * len(h) - SLACK) + 1]
+
+
+def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int, least: float = 0.8, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """The columns ``keep``, the fingerprint of the distinct shingles, a second one from the same hashes stirred, how many
+    they are, and the prefix of them. Repeats don't count, as they don't in the similarity that decides."""
     import pyarrow as pa
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in ("fp", "fp2", "n"))])
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in ("fp", "fp2", "n")), T.StructField("rare", T.ArrayType(T.LongType()))])
+    known, level = common or (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8))
 
     def run(batches):
         for part in arrow_rows(batches):
-            rows = np.zeros((part.num_rows, 3), dtype=np.int64)
+            rows, rare = np.zeros((part.num_rows, 3), dtype=np.int64), []
             for k, t in enumerate(part.column(len(keep))):
                 h = np.unique(hashed_shingles(t.as_py(), shingle))
                 stirred = (h ^ (h >> np.uint64(29))) * np.uint64(STIR)
                 stirred ^= stirred >> np.uint64(32)
                 rows[k] = majority(h).view(np.int64), majority(stirred).view(np.int64), len(h)
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(rows[:, c]) for c in range(3))], names=schema.names)
+                rare.append(prefix(h, least, known, level).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(rows[:, c]) for c in range(3)), pa.array(rare, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("_text")).mapInArrow(run, schema)
 
@@ -280,6 +334,62 @@ def plausible(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.where(near & (F.least("m", "o") >= F.lit(least) * F.greatest("m", "o"))).select("a", "b")
 
 
+def sharing(prints: DataFrame, texts: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """(a, b, dense): the pairs of nodes of ``texts`` that fingerprints can't be trusted to propose, by an exact prefix join.
+
+    Pairs with a similarity of ``least`` share a shingle in both their prefixes (``prints``: sha, n, rare), and what is left of both
+    from the first such one on is long enough for it; all pairs that meet so come, in cells with many as stars, marked
+    dense. Pairs inside a dense group of ``found`` are left out: they are verified with their group anyway.
+    """
+    import pyarrow as pa
+
+    def repeated(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            part = pa.Table.from_batches(parts).combine_chunks()
+            _, back, many = np.unique(part.column("cell").to_numpy(), return_inverse=True, return_counts=True)
+            yield from part.filter(pa.array(many[back] > 1)).to_batches(10_000)
+
+    def compare(batches):
+        for part in whole_groups(batches, ["cell", "_i", "_j"]):
+            cell, i, j, block, node, root, size = (part.column(c).to_numpy() for c in ("cell", "_i", "_j", "_block", "node", "root", "size"))
+            n, rest = size >> 32, (size >> 32) - (size & 0xFFFFFFFF)
+
+            def near(x, y, i=i, j=j, block=block, root=root, n=n, rest=rest):
+                ok = (root[x] != root[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+                ok &= np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - SLACK
+                return ok & (np.minimum(rest[x], rest[y]) >= least / (1 + least) * (n[x] + n[y]) - SLACK)
+
+            spans = np.array(list(runs([cell, i, j])), dtype=np.int64).reshape(-1, 2)
+            a, b, dense = [], [], []
+            for x, y in pairs_of_small(spans, SMALL):
+                ok = near(x, y)
+                a.append(node[x[ok]])
+                b.append(node[y[ok]])
+                dense.append(np.zeros(int(ok.sum()), dtype=bool))
+            for start, stop in spans[spans[:, 1] - spans[:, 0] > SMALL]:
+                xs, ys, y = [], [], np.arange(start, stop)
+                for k in range(start, stop, 256):
+                    x = np.arange(k, min(k + 256, stop))
+                    px, py = np.nonzero(near(x[:, None], y[None, :]) & (x[:, None] < y[None, :]))
+                    xs.append(x[px])
+                    ys.append(y[py])
+                x, y, kind = thinned(np.concatenate(xs), np.concatenate(ys), start, stop, node)
+                a.append(node[x])
+                b.append(node[y])
+                dense.append(np.full(len(x), kind))
+            if a:
+                yield proposals(a, b, dense)
+
+    cells = prints.select(F.xxhash64("sha").alias("key"), "n", F.posexplode("rare").alias("pos", "cell"))
+    cells = cells.select("cell", "key", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("size"))
+    # one shuffle of narrow rows, of which few stay: most shingles are of one text only
+    cells = written(cells.repartition("cell").mapInArrow(repeated, cells.schema), "repeated")
+    own = texts.select(F.xxhash64("sha").alias("key"), "node").join(components(found.where("dense").select("a", "b"), "dense"), "node", "left")
+    cells = written(cells.join(own.select("key", "node", F.coalesce("root", "node").alias("root")), "key").drop("key"), "shared")
+    return grouped(cells, "cell", F.xxhash64("node"), compare, PROPOSED, F.min("root") < F.max("root"))
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> float:
     """The Jaccard similarity of two sets."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -333,17 +443,20 @@ def verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates, with all columns of ``docs``: the one with the smallest id, null ids last.
 
-    Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of ``least`` or more. Fingerprints propose pairs, sets of the texts proposed decide, exactly.
+    Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of ``least`` or more. Fingerprints
+    propose pairs, a prefix join on rare shingles adds all that they miss, sets of the texts proposed decide, exactly.
     """
     import pyarrow as pa
 
     narrow = docs.select(F.col(id_col).alias("id"), text_sha(F.col(text_col)).alias("sha"), F.col(text_col).alias("text"))
-    prints = written(sketches(narrow, ["id", "sha"], "text", shingle), "prints")
+    prints = written(sketches(narrow, ["id", "sha"], "text", shingle, least, common_shingles(narrow, "id", "text", shingle)), "prints")
     first = prints.groupBy("fp", "fp2", "n", "sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
     first = written(first.select("fp", "fp2", "n", "sha", "first.*").withColumn("node", F.monotonically_increasing_id()), "first")
     proposed = written(candidates(first), "candidates")
     pairs = proposed.where("NOT dense").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = written(plausible(pairs, first, least).withColumn("dense", F.lit(False)).union(proposed.where("dense")), "plausible")
+    more = written(sharing(prints, first, found, least), "sharing")
+    found = written(found.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dense")).distinct(), "found")
     ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
     wanted = first.join(ends, "node").select("node", F.col("id").alias("_id"), F.col("sha").alias("_sha"))
 

@@ -207,6 +207,48 @@ def test_one_of_each_by_similarity(spark):
     assert [i for i in kept if i >= 120] == [120]
 
 
+def near_the_threshold(rng, pairs):
+    """Pairs of texts with similarities of 0.8 to 0.86: sets of 20 to 300 shingles, with words replaced at one end."""
+    rows = []
+    for g in range(pairs):
+        n = int(rng.integers(20, 300))
+        base = [f"p{g}w{i}" for i in range(n + 4)]
+        cut = int(rng.integers(max(1, n // 14), max(2, n // 9 + 1)))
+        rows += [(2 * g, " ".join(base), "s"), (2 * g + 1, " ".join(base[:-cut] + [f"q{g}w{i}" for i in range(cut)]), "s")]
+    return rows
+
+
+def test_every_pair_at_the_threshold_goes(spark):
+    rows = near_the_threshold(np.random.default_rng(21), 300)
+    common = " ".join(f"c{i}" for i in range(40))  # a passage of all texts, by which they all meet
+    rows += [(1000 + i, " ".join([common, *[f"o{i}w{k}" for k in range(80)]]), "s") for i in range(60)]
+    rows += [(2000, " ".join([common, "end one two"]), "s"), (2001, " ".join([common, "end"]), "s"), (2002, "Few words", "s"), (2003, "few words", "s"), (2004, "", "s")]
+    sets = [word_set(t) for _, t, _ in rows]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [int(simhash.majority(np.unique(simhash.hashed_shingles(t.encode(), 5)))) for _, t, _ in rows]
+    assert sum((prints[i] ^ prints[j]).bit_count() > simhash.REACH for i, j in edges) > 10  # beyond the grid
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()}
+    assert kept == {rows[r][0] for r in set(roots_of(len(rows), edges))}
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_prefix_join_alone_misses_nothing(spark, monkeypatch, block):
+    rng = np.random.default_rng(22)
+    rows = near_the_threshold(rng, 60)
+    hot = [f"h{i}" for i in range(100)]
+    for c in range(50):  # and a dense group that meets in many cells
+        text = list(hot)
+        text[int(rng.integers(100))] = f"hot{c}"
+        rows.append((1000 + c, " ".join(text), "s"))
+    none = spark.createDataFrame([], simhash.PROPOSED)
+    monkeypatch.setattr(simhash, "candidates", lambda texts: none)
+    monkeypatch.setattr(simhash, "grouped", lambda *a, **k: links.grouped(*a, **({"block": block} | k)))
+    sets = [word_set(t) for _, t, _ in rows]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()}
+    assert kept == {rows[r][0] for r in set(roots_of(len(rows), edges))}
+
+
 def test_repeats_do_not_move_sketches(spark):
     words = [f"w{i}" for i in range(200)]
     line = " ".join(f"r{i}" for i in range(12))
