@@ -7,16 +7,18 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The payload tags, the answer tags, and the markers of list items that are stripped from lines.
+# The payload tags, the answer tags, the markers of list items and the emphasis that are stripped from the
+# start of lines, and what counts as white space at the ends of a text.
 OPEN, CLOSE = "<explanation>", "</explanation>"
 ANSWER = r"<analysis>\s*(.*?)\s*</analysis>"
 LIST_PREFIX = r"^\s*(?:[-*•+–—]|\d+[.)]|\(\d+\)|[a-zA-Z][.)]|\([a-zA-Z]\)|[ivxIVX]+[.)])\s+"
-BOLD = r"\*\*([^*]+)\*\*\s*"
+EMPHASIS = r"^\*\*([^\n]+?)\*\*"
+SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def stripped(text: Column) -> Column:
-    """White space off both ends (all of it, where ``trim`` takes spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """White space off both ends, Unicode's too (where ``trim`` takes spaces only)."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def wrapped(text: Column) -> Column:
@@ -42,10 +44,15 @@ def body(text: Column) -> Column:
 
 
 def cleaned(raw: Column, pattern: str = ANSWER) -> Column:
-    """The answer's lines without list markers and emphasis, blank ones dropped, as paragraphs; null without answer."""
+    """The answer's lines without list markers, each line's leading emphasis unwrapped and emphasis marks off both ends,
+    blank lines dropped, as paragraphs; null without answer. Emphasis within a line stays."""
     whole = f"(?s){pattern}"
+
+    def line(x: Column) -> Column:
+        bare = F.regexp_replace(x, LIST_PREFIX.replace(r"\s", SPACE).replace(r"\d", r"\p{Nd}"), "")
+        return F.regexp_replace(stripped(F.regexp_replace(bare, f"{EMPHASIS}{SPACE}*", "$1 ")), r"^[*_]+|[*_]+$", "")
+
     lines = F.split(F.regexp_extract(raw, whole, 1), "\n")
-    line = lambda x: F.regexp_replace(stripped(F.regexp_replace(F.regexp_replace(x, LIST_PREFIX, ""), BOLD, "$1 ")), r"^[*_]+|[*_]+$", "")
     return F.when(raw.rlike(whole), F.array_join(F.filter(F.transform(lines, line), lambda x: x != ""), "\n\n"))
 
 
@@ -123,7 +130,14 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(more > 0, F.concat(F.substring(text, 1, most), F.lit(" … ["), more.cast("string"), F.lit(" more chars]"))).otherwise(text)
 
 
-def split_id(path: str) -> tuple[str, tuple[int, int] | None]:
-    """``data.parquet@[3:9]`` as the path and its slice."""
+def wrapped_lines(text: Column, width: int) -> Column:
+    """The text broken into lines of at most ``width`` characters, at white space where there is any; words longer than
+    a line are cut. An array, empty for an empty text."""
+    pieces = F.regexp_extract_all(F.concat(stripped(text), F.lit("\n")), F.lit(rf"(\S.{{0,{width - 1}}}(?=\s)|\S{{{width}}})"), F.lit(1))
+    return F.transform(pieces, lambda x: F.rtrim(x))
+
+
+def sliced_path(path: str) -> tuple[str, tuple[int, int | None] | None]:
+    """``data.parquet@[3:9]`` as the path and its slice [3, 9); an open end is None; without a slice None."""
     m = re.fullmatch(r"(.*)@\[(\d*):(\d*)\]", path)
-    return (path, None) if m is None else (m[1], (int(m[2] or 0), int(m[3] or -1)))
+    return (path, None) if m is None else (m[1], (int(m[2] or 0), int(m[3]) if m[3] else None))

@@ -59,9 +59,10 @@ def reward(error: Column, failed: Column, log: bool = False) -> Column:
     return F.when(failed, F.lit(FAILED_LOG if log else FAILED)).otherwise(value)
 
 
-def checked_width(v: Column, width: int) -> Column:
-    """The vector as array<float>; an error for another width."""
-    return F.when(F.size(v) == width, v.cast("array<float>")).otherwise(F.raise_error(F.concat(F.lit(f"expected {width} components, found "), F.size(v).cast("string"))).cast("array<float>"))
+def checked_vector(v: Column, width: int, name: str = "vector") -> Column:
+    """The vector as array<float>; an error where it is null, of another width or has a component that is no number."""
+    wrong = F.when(v.isNull(), F.lit("null")).when(F.size(v) != width, F.concat(F.size(v).cast("string"), F.lit(" components"))).when(~finite(v), F.lit("a component that is not finite"))
+    return F.when(wrong.isNull(), v.cast("array<float>")).otherwise(F.raise_error(F.concat(F.lit(f"{name}: expected {width} components, found "), wrong)).cast("array<float>"))
 
 
 def finite(v: Column) -> Column:
@@ -92,3 +93,23 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def padded(tokens: Column, length: Column, pad) -> Column:
     return F.concat(tokens, F.array_repeat(F.lit(pad), (length - F.size(tokens)).cast("int")))
+
+
+def flattened(matrix: Column) -> Column:
+    """The rows of a matrix end to end; :func:`reshaped` undoes it."""
+    return F.flatten(matrix)
+
+
+def reshaped(v: Column, width: int) -> Column:
+    """A vector as rows of ``width``; an error where the width does not divide its length."""
+    fits = F.when(F.size(v) % width == 0, F.size(v)).otherwise(F.raise_error(F.concat(F.size(v).cast("string"), F.lit(f" components are no rows of {width}"))).cast("int"))
+    starts = F.filter(F.sequence(F.lit(0), fits), lambda i: (i < F.size(v)) & (i % width == 0))
+    return F.transform(starts, lambda i: F.slice(v, i + 1, width))
+
+
+def response_mask(renders: Column, closing: Column) -> Column:
+    """The loss mask of a conversation from how it renders, prompt first, then prompt and response, as tokens: 0 for what
+    both begin with, 1 for the rest, with the tokens that close the response counted in."""
+    whole = F.concat(renders[1], closing)
+    shared = common_prefix(F.slice(renders[0], F.lit(1), F.least(F.size(renders[0]), F.size(whole))), F.slice(whole, F.lit(1), F.least(F.size(renders[0]), F.size(whole))))
+    return loss_mask(shared, F.size(whole) - shared)

@@ -82,10 +82,17 @@ def base(spark, d) -> DataFrame:
     return rows.select("n", "doc_id", "n_raw_tokens", "sample_order", vector_at(spark, d, 0).alias("v0"), vector_at(spark, d, 24).alias("v24"))
 
 
-def split(spark, d) -> DataFrame:
+def kept_base(spark, d) -> DataFrame:
+    """The base as a table in the shared folder, for queries that go through it more than once."""
+    from brindle.sources.shared import written
+
+    return written(base(spark, d), "base")
+
+
+def split(spark, d, rows: DataFrame | None = None) -> DataFrame:
     from brindle.operators.ordering import document_split
 
-    return document_split(base(spark, d), "doc_id", SEED, FRACTIONS)
+    return document_split(kept_base(spark, d) if rows is None else rows, "doc_id", SEED, FRACTIONS)
 
 
 def vectors(spark, d) -> DataFrame:
@@ -102,21 +109,38 @@ WITH_PAIRS = "pr AS (SELECT a.vec_id, a.embedding AS gold, b.embedding AS pred F
 WITH_NORM = "list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE))"
 
 
+#: What the surrogate answers put before a line, and how they emphasise it ({} is the line).
+MARKERS = ("-", "•", "–", "1.", "2)", "(3)", "a.", "(b)", "iv.")
+EMPHASES = ("**Line:** {}", "word **bold** {}**", "**a*b** {}", "_{}_*", "*** **{}**")
+
+
 def answers(spark, d) -> DataFrame:
-    """Raw provider answers: list items made of each document's lines; every seventh is cut before the closing tag."""
+    """Raw provider answers: list items made of each document's lines, all markers and kinds of emphasis in turn; every
+    seventh is cut before the closing tag."""
     docs = table(spark, d, "documents")
-    lines = F.split("text", "\n")
-    items = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". **Line:** "), x)), "\n")
+
+    def item(x, i):
+        marker = F.element_at(F.array(*map(F.lit, MARKERS)), (F.pmod(F.col("doc_id") + i, F.lit(len(MARKERS))) + 1).cast("int"))
+        kinds = [F.concat(F.lit(k.partition("{}")[0]), x, F.lit(k.partition("{}")[2])) for k in EMPHASES]
+        return F.concat(marker, F.lit(" "), F.element_at(F.array(*kinds), (F.pmod(F.col("doc_id") + i, F.lit(len(kinds))) + 1).cast("int")))
+
+    items = F.array_join(F.transform(F.split("text", "\n"), item), "\n")
     return docs.select("doc_id", F.concat(F.lit("Sure.\n<analysis>\n"), items, F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit("")).otherwise(F.lit("\n</analysis> done"))).alias("raw"))
 
 
-WITH_ANSWERS = r"""a AS (SELECT doc_id, 'Sure.' || chr(10) || '<analysis>' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: i || '. **Line:** ' || x), chr(10))
+ITEM = f"{list(MARKERS)}[(doc_id + i - 1) % {len(MARKERS)} + 1] || ' ' || CASE (doc_id + i - 1) % {len(EMPHASES)} " + " ".join(f"WHEN {n} THEN '{k.partition('{}')[0]}' || x || '{k.partition('{}')[2]}'" for n, k in enumerate(EMPHASES)) + " END"
+WITH_ANSWERS = rf"""a AS (SELECT doc_id, 'Sure.' || chr(10) || '<analysis>' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: {ITEM}), chr(10))
   || CASE WHEN doc_id % 7 = 0 THEN '' ELSE chr(10) || '</analysis> done' END AS raw FROM documents)"""
+# The SQL unwraps emphasis by positions rather than by a pattern: between a leading ** and the next ** after a character.
 LISTS = r"'^\s*(?:[-*•+–—]|\d+[.)]|\(\d+\)|[a-zA-Z][.)]|\([a-zA-Z]\)|[ivxIVX]+[.)])\s+'"
 WITH_CLEAN = WITH_ANSWERS + rf""",
-c AS (SELECT doc_id, CASE WHEN regexp_matches(raw, '<analysis>\s*(.*?)\s*</analysis>', 's') THEN
-  array_to_string(list_filter(list_transform(string_split(regexp_extract(raw, '<analysis>\s*(.*?)\s*</analysis>', 1, 's'), chr(10)),
-    lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, {LISTS}, ''), '\*\*([^*]+)\*\*\s*', '\1 ', 'g'), '^\s+|\s+$', '', 'g'), '^[*_]+|[*_]+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10)) END AS explanation FROM a)"""
+l AS (SELECT doc_id, unnest(string_split(inner_, chr(10))) AS x, generate_subscripts(string_split(inner_, chr(10)), 1) AS nth
+  FROM (SELECT doc_id, regexp_extract(raw, '<analysis>\s*(.*?)\s*</analysis>', 1, 's') AS inner_ FROM a WHERE regexp_matches(raw, '<analysis>\s*(.*?)\s*</analysis>', 's'))),
+b AS (SELECT doc_id, nth, regexp_replace(x, {LISTS}, '') AS x FROM l),
+e AS (SELECT doc_id, nth, x, CASE WHEN starts_with(x, '**') THEN instr(substring(x, 4), '**') ELSE 0 END AS p FROM b),
+o AS (SELECT doc_id, nth, regexp_replace(trim(CASE WHEN p > 0 THEN substring(x, 3, p) || ' ' || ltrim(substring(x, p + 5), ' ' || chr(9) || chr(13)) ELSE x END, ' ' || chr(9) || chr(13)), '^[*_]+|[*_]+$', '', 'g') AS x FROM e),
+c AS (SELECT a.doc_id, CASE WHEN regexp_matches(any_value(raw), '<analysis>\s*(.*?)\s*</analysis>', 's') THEN coalesce(string_agg(x, chr(10) || chr(10) ORDER BY nth) FILTER (WHERE x <> ''), '') END AS explanation
+  FROM a LEFT JOIN o USING (doc_id) GROUP BY a.doc_id)"""
 
 
 def clean(spark, d) -> DataFrame:
