@@ -23,11 +23,6 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def require_rows(df: DataFrame, what: str) -> DataFrame:
-    require(not df.isEmpty(), f"{what} is empty")
-    return df
-
-
 def vector_report(df: DataFrame, columns: list[str], width: int) -> DataFrame:
     """One row a vector column: rows, nulls, other widths, rows with a component that is not finite."""
     checks = []
@@ -37,13 +32,6 @@ def vector_report(df: DataFrame, columns: list[str], width: int) -> DataFrame:
     return df.agg(F.array(*checks).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def require_vectors(df: DataFrame, columns: list[str], width: int) -> DataFrame:
-    for r in vector_report(df, columns, width).collect():
-        require(r["n_rows"] > 0, "no rows")
-        require(not (r["n_null"] or r["n_width"] or r["n_not_finite"]), f"{r['column_name']}: {r['n_null']} null, {r['n_width']} of another width, {r['n_not_finite']} not finite")
-    return df
-
-
 def require_slice(start: int, length: int, positions: int = 1) -> None:
     require(start >= 0, "start must not be negative")
     require(length > 0 and positions > 0, "length and positions must be positive")
