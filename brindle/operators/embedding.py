@@ -46,17 +46,44 @@ def token_windows(df: DataFrame, key: str, tokens: str, wide: int, seed: int) ->
 def greedy_files(df: DataFrame, group: str, key: str, size: str, most: int) -> DataFrame:
     """Items of a group, in order, into files of at most ``most``; an item beyond that has a file of its own.
 
-    A group is the index of one checkpoint: a few thousand short rows, whatever the tensors weigh. A file is closed
-    by the item that no longer fits, so the fold is sequential; it runs inside the JVM.
+    A file is closed by the item that no longer fits, so the order decides and items are gone through one by one, a group
+    streaming through a task in sorted order: nothing of it is gathered but the file's number and what it holds so far.
     """
-    listed = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("long").alias("z")))).alias("items"))
-    kind = T.StructType([T.StructField("file", T.LongType()), T.StructField("used", T.LongType()), T.StructField("out", T.ArrayType(T.StructType([T.StructField("k", df.schema[key].dataType), T.StructField("file", T.LongType())])))])
-    start = F.struct(F.lit(0).cast("long").alias("file"), F.lit(0).cast("long").alias("used"), F.array().cast(kind["out"].dataType).alias("out")).cast(kind)
-
-    def step(s, x):
-        new = (s["used"] > 0) & (s["used"] + x["z"] > most)
-        file = s["file"] + new.cast("long")
-        return F.struct(file.alias("file"), (F.when(new, F.lit(0).cast("long")).otherwise(s["used"]) + x["z"]).alias("used"), F.concat(s["out"], F.array(F.struct(x["k"].alias("k"), file.alias("file")))).alias("out")).cast(kind)
-
-    folded = listed.select(group, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("x"))
-    return folded.select(group, F.col("x.k").alias(key), F.col("x.file").alias("file"))
+    import pyarrow as pa
+
+    schema = T.StructType([df.schema[group], df.schema[key], T.StructField("file", T.LongType())])
+
+    def run(batches):
+        now, file, used = None, 0, 0
+        for part in batches:
+            files = []
+            for own, z in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if (own,) != now:
+                    now, file, used = (own,), 0, 0
+                elif used and used + z > most:
+                    file, used = file + 1, 0
+                used += z
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(files, pa.int64())], names=schema.names)
+
+    rows = df.select(group, key, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_z"))
+    return rows.repartition(group).sortWithinPartitions(group, key).mapInArrow(run, schema)
+
+
+def sequence_slice(rows: DataFrame, position: str, start: int, length: int) -> DataFrame:
+    """The part of embedded sequences that one of several holders has, ``local`` counted from its start; sites stay numbered
+    over whole sequences, so that injection before or after the cut is the same."""
+    return rows.where(F.col(position).between(start, start + length - 1)).withColumn("local", F.col(position) - start)
+
+
+def packed_rows(df: DataFrame, group: str, order: str, tokens: str, pad, wide: str) -> DataFrame:
+    """Sequences padded to the width of their batch, with masks, and where each begins and ends when those of a batch are
+    laid end to end without padding."""
+    from brindle.operators.ordering import last_token_offsets
+
+    sized = df.withColumn("length", F.size(tokens).cast("long"))
+    placed = last_token_offsets(sized, [group], order, "length")
+    ends = F.col("last_index") + 1
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(tokens)), F.array_repeat(F.lit(0), (F.col(wide) - F.size(tokens)).cast("int")))
+    filled = F.concat(F.col(tokens), F.array_repeat(F.lit(pad), (F.col(wide) - F.size(tokens)).cast("int")))
+    return placed.withColumn("padded", filled).withColumn("mask", mask).withColumn("begins", ends - F.col("length")).withColumn("ends", ends).drop("last_index")

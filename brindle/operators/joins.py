@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import sha256
+from brindle.sources.shared import written
 
 #: The least share of rows that an exact-key join must match.
 LEAST_MATCH = 0.95
@@ -37,14 +38,18 @@ def cache_misses(rows: DataFrame, text: str, cache: DataFrame) -> DataFrame:
 
 
 def exact_key_join(rows: DataFrame, prior: DataFrame, keys: list[str], ordinal: str, value: str, least: float | None = LEAST_MATCH) -> DataFrame:
-    """Inner join with a prior output; below ``least`` matched rows it raises before anything is written."""
-    found = rows.join(last_wins(prior, keys, ordinal, value), keys, "inner")
-    if least is not None:  # one pass over the keys
-        rate = match_rate(rows, prior, keys).first()
-        matched, total = rate["n_matched"], rate["n_rows"]
-        if not total or matched / total < least:
-            raise ValueError(f"only {matched} of {total} rows match; at least {least:.0%} must")
-    return found
+    """Inner join with a prior output; below ``least`` matched rows it raises before anything is handed on.
+
+    The join is worked out once, all rows marked, as a table in the shared folder; the rate is counted there.
+    """
+    last = last_wins(prior, keys, ordinal, value)
+    if least is None:
+        return rows.join(last, keys, "inner")
+    marked = written(rows.join(last.withColumn("_hit", F.lit(True)), keys, "left"), "joined")
+    n = marked.agg(F.count("_hit").alias("matched"), F.count(F.lit(1)).alias("rows")).first()
+    if not n["rows"] or n["matched"] / n["rows"] < least:
+        raise ValueError(f"only {n['matched']} of {n['rows']} rows match; at least {least:.0%} must")
+    return marked.where("_hit").drop("_hit")
 
 
 def match_rate(rows: DataFrame, prior: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from brindle.functions import vectors as V
 
@@ -98,5 +97,8 @@ def absmax_scale(df: DataFrame, key: str, vector: str, top: float = 448.0) -> Da
     return rows.withColumn("tensor_scale", rows.agg(F.max("channel_scale")).scalar())
 
 
-def within_group_rank(df: DataFrame, group: str, order: str) -> DataFrame:
-    return df.withColumn("nth", (F.row_number().over(W.Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
+def block_scales(df: DataFrame, row: str, vector: str, block: int, top: float = 448.0) -> DataFrame:
+    """The quantisation scale of each ``block`` x ``block`` tile of a matrix given as rows: the tile's greatest absolute value
+    over ``top``. Tiles at the edges are padded with zeros, which change no maximum; a tile of zeros has scale 0."""
+    cells = df.select(F.floor(F.col(row) / block).alias("tile_row"), F.posexplode(V.doubles(F.col(vector))).alias("at", "x"))
+    return cells.groupBy("tile_row", F.floor(F.col("at") / block).alias("tile_column")).agg((F.max(F.abs("x")) / top).alias("scale"))

@@ -73,8 +73,10 @@ def permutation(df: DataFrame, key: str, seed: int | str, dataset_id: str, name:
 
 
 def bundle_permutation(df: DataFrame, key: str, bundle: list[str], seed: int | str, dataset_id: str) -> DataFrame:
-    """Move the columns ``bundle``, all by one permutation; the others stay where they are."""
-    here = id_ranked(df, key, "_at")
+    """Move the columns ``bundle``, all by one permutation; the others stay where they are. Rows are numbered in the order of
+    an integer key, or of a text's hash."""
+    whole = df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+    here = id_ranked(df, key, "_at") if whole else hash_ranked(df, keyed_hash("at", F.col(key)), "_at", [F.col(key)])
     there = hash_ranked(df.select(F.col(key).alias("_from"), *bundle), keyed_hash(f"{seed}|{dataset_id}|activ", F.col("_from")), "_at", [F.col("_from")])
     return here.drop(*bundle).join(there.drop("_from"), "_at").drop("_at").select(*df.columns)
 
@@ -127,7 +129,26 @@ def contiguous(shards: DataFrame, start: str = "start", length: str = "length")
     return shards.withColumn("gap", F.coalesce(gap, F.lit(0)).cast("long")).withColumn("contiguous", F.col("gap") == 0)
 
 
-def last_token_offsets(df: DataFrame, group: list[str], order: str, length: str) -> DataFrame:
-    """The index of each sequence's last token when a group's sequences are laid end to end."""
-    upto = W.Window.partitionBy(*group).orderBy(order).rowsBetween(W.Window.unboundedPreceding, 0)
-    return df.withColumn("last_index", (F.sum(length).over(upto) - 1).cast("long"))
+def last_token_offsets(df: DataFrame, group: list[str], order: str, length: str, wide: int = 4096) -> DataFrame:
+    """The index of each sequence's last token when a group's sequences are laid end to end, in the order of an integer.
+
+    A group is summed up by ranges of ``wide`` numbers, and each range starts where those before it end, so that a group
+    of any size is no one task's.
+    """
+    dealt = df.withColumn("_range", F.floor(F.col(order) / wide))
+    sums = dealt.groupBy(*group, "_range").agg(F.sum(length).alias("_sum"))
+    before = W.Window.partitionBy(*group).orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
+    names = [f"_g{i}" for i in range(len(group))]
+    starts = sums.select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    same = F.col("_range") == F.col("_r")
+    for g, n in zip(group, names, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    placed = dealt.join(starts, same).drop("_r", *names)
+    upto = W.Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(W.Window.unboundedPreceding, 0)
+    return placed.withColumn("last_index", (F.col("_start") + F.sum(length).over(upto) - 1).cast("long")).drop("_range", "_start")
+
+
+def first_by_key(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """Of rows alike in ``keys``, the first by ``ordinal``: an ordered distinct, which combines before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordinal).alias("_row")).select(*keys, "_row.*").select(*df.columns)

@@ -52,7 +52,32 @@ def calibration_windows(spark, d):
     return out.select("n", "start", F.array_join("window", " ").alias("text"))
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT p_brand, p_partkey, p_size::BIGINT AS z, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part),
+f AS (SELECT p_brand, p_partkey, nth, 0::BIGINT AS file, z AS used FROM i WHERE nth = 1
+  UNION ALL SELECT i.p_brand, i.p_partkey, i.nth, f.file + CASE WHEN used > 0 AND used + z > 100 THEN 1 ELSE 0 END, CASE WHEN used > 0 AND used + z > 100 THEN z ELSE used + z END
+  FROM f JOIN i ON i.p_brand = f.p_brand AND i.nth = f.nth + 1)
+SELECT p_brand, p_partkey, file FROM f""")
 def tensor_files(spark, d):
-    """Size-bounded files in order, a fold that SQL can't say; tested against a loop."""
+    """Size-bounded files in order: a fold over each brand's parts."""
     return E.greedy_files(table(spark, d, "part"), "p_brand", "p_partkey", "p_size", 100)
+
+
+@query(f"""WITH {WITH_MARKS}, t AS (SELECT n, position, id FROM x WHERE position BETWEEN 32 AND 95),
+put AS (SELECT n, position, embedding FROM sites JOIN embeddings ON vec_id = nth)
+SELECT n, count(*) AS n_local, max(position) - 32 AS last_local, count(put.embedding) AS n_sites, round(sum(put.embedding[1]::DOUBLE), 9) AS first FROM t LEFT JOIN put USING (n, position) GROUP BY n""")
+def embedding_slice(spark, d):
+    """What the holder of positions 32 to 95 has of each sequence: sites are numbered over whole sequences."""
+    from brindle.plans.q_rollout import marked
+
+    ids = marked(spark, d).select("n", F.posexplode("ids").alias("position", "id")).withColumn("position", F.col("position").cast("long"))
+    sites = marker_sites(spark, d).join(vectors(spark, d).withColumnRenamed("vec_id", "nth"), "nth").select("n", "position", "embedding")
+    local = E.sequence_slice(ids.join(sites, ["n", "position"], "left"), "position", 32, 64)
+    first = F.round(F.sum(F.element_at("embedding", 1).cast("double")), 9)
+    return local.groupBy("n").agg(F.count(F.lit(1)).alias("n_local"), F.max("local").alias("last_local"), F.count("embedding").alias("n_sites"), first.alias("first"))
+
+
+@query("SELECT vec_id, embedding AS flat, len(embedding) // 16 AS n_rows FROM embeddings")
+def flatten_rows(spark, d):
+    """A vector as a matrix of rows of 16, and flat again."""
+    rows = vectors(spark, d).select("vec_id", V.reshaped(F.col("embedding"), 16).alias("m"))
+    return rows.select("vec_id", V.flattened(F.col("m")).alias("flat"), F.size("m").cast("long").alias("n_rows"))

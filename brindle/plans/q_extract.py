@@ -9,7 +9,7 @@ from brindle.functions import vectors as V
 from brindle.operators import joins, ordering, rollout
 from brindle.plans.registry import (
     FIRST, SEED, SPECIALS, WITH_BASE, WITH_DOCS, WITH_ELIGIBLE, WITH_NORM, WITH_SAMPLE, WITH_SPLIT,
-    base, documents, eligible, query, sample, split, table, vectors,
+    base, documents, eligible, kept_base, query, sample, split, table, vectors,
 )
 
 
@@ -18,7 +18,8 @@ SELECT bucket, count(*) AS n_rows, count(DISTINCT base.doc_id) AS n_docs, round(
 FROM base JOIN s USING (doc_id) JOIN embeddings ON vec_id = v24 GROUP BY bucket""")
 def flagship(spark, d):
     """Keyed sample, bundle lookup, document split, summary by bucket."""
-    rows = base(spark, d).join(split(spark, d), "doc_id").join(vectors(spark, d), F.col("vec_id") == F.col("v24"))
+    kept = kept_base(spark, d)
+    rows = kept.join(split(spark, d, kept), "doc_id").join(vectors(spark, d), F.col("vec_id") == F.col("v24"))
     norm = F.round(F.avg(V.norm(F.col("embedding"))), 6)
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_docs"), norm.alias("avg_norm"))
 
@@ -76,12 +77,14 @@ def doc_split(spark, d):
 
 @query(f"WITH {WITH_SPLIT} SELECT bucket, count(*) AS n_rows FROM base JOIN s USING (doc_id) GROUP BY bucket")
 def split_counts(spark, d):
-    return base(spark, d).join(split(spark, d), "doc_id").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = kept_base(spark, d)
+    return rows.join(split(spark, d, rows), "doc_id").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(f"WITH {WITH_SPLIT} SELECT doc_id, n_raw_tokens FROM base WHERE doc_id IN (SELECT doc_id FROM s WHERE bucket = 'rl')")
 def split_semi(spark, d):
-    return joins.members(base(spark, d), split(spark, d).where("bucket = 'rl'"), "doc_id").select("doc_id", "n_raw_tokens")
+    rows = kept_base(spark, d)
+    return joins.members(rows, split(spark, d, rows).where("bucket = 'rl'"), "doc_id").select("doc_id", "n_raw_tokens")
 
 
 @query(f"WITH {WITH_BASE} SELECT doc_id, n_raw_tokens, embedding AS activation_vector FROM base JOIN embeddings ON vec_id = v24")

@@ -62,11 +62,11 @@ def meannorm_baseline(spark, d):
     return metrics.mean_norm_baseline(vectors(spark, d), "embedding", SCALE).select(F.round("baseline", 9).alias("baseline"))
 
 
-@query(f"""WITH se AS (SELECT unnest({scaled_sql('embedding')}) AS x, generate_subscripts(embedding, 1) - 1 AS component FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 300))
+@query(f"""WITH se AS (SELECT unnest({scaled_sql('embedding')}) AS x, generate_subscripts(embedding, 1) - 1 AS component FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 50000))
 SELECT round(avg(v), 9) AS baseline FROM (SELECT component, var_pop(x) AS v FROM se GROUP BY 1)""")
 def capped_baseline(spark, d):
     """The baseline over the first rows in file order: the cap is the feature."""
-    head = metrics.capped(vectors(spark, d), "vec_id", 300)
+    head = metrics.capped(vectors(spark, d), "vec_id")
     return metrics.raw_variance_baseline(head, "embedding", SCALE).select(F.round("baseline", 9).alias("baseline"))
 
 
@@ -143,3 +143,11 @@ def absmax_scales(spark, d):
 @query("SELECT status, count(*) AS n, round(avg(reward), 6) AS mean_reward FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'TRUNCATED' ELSE 'COMPLETED' END AS status, value AS reward FROM events) GROUP BY 1")
 def status_rewards(spark, d):
     return rollouts(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("reward"), 6).alias("mean_reward"))
+
+
+@query("""WITH c AS (SELECT vec_id // 24 AS tile_row, (generate_subscripts(embedding, 1) - 1) // 24 AS tile_column, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT tile_row::BIGINT AS tile_row, tile_column::BIGINT AS tile_column, round(max(abs(x)) / 448.0::DOUBLE, 12) AS scale FROM c GROUP BY ALL""")
+def block_scales(spark, d):
+    """Scales of tiles of 24 x 24: the edge tiles are padded."""
+    out = metrics.block_scales(vectors(spark, d), "vec_id", "embedding", 24)
+    return out.select("tile_row", F.col("tile_column").cast("long").alias("tile_column"), F.round("scale", 12).alias("scale"))

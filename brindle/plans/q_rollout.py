@@ -40,9 +40,13 @@ def rank_min_truncate(spark, d):
     return rollout.rank_min_truncate(done, "rank", "event_id", 16)
 
 
-@query(f"WITH {WITH_ROLLOUTS} SELECT event_id, rank % 3 AS target_rank, rank // 3 AS place FROM r")
+@query(f"""WITH {WITH_ROLLOUTS}, p AS (SELECT rank % 3 AS target_rank, rank // 3 AS place, rank, event_id, row_number() OVER (PARTITION BY rank ORDER BY event_id) - 1 AS own FROM r),
+s AS (SELECT target_rank, place, count(*) AS n FROM p GROUP BY ALL), o AS (SELECT target_rank, place, sum(n) OVER (PARTITION BY target_rank ORDER BY place) - n AS start FROM s)
+SELECT event_id, target_rank, place, target_rank AS first_rank, (start + own)::BIGINT AS position FROM p JOIN o USING (target_rank, place)""")
 def strided_repartition(spark, d):
-    return rollout.strided(rollouts(spark, d).select("event_id", "rank"), "rank", 3).select("event_id", "target_rank", "place")
+    """The lists of ranks i, i + 3, ... laid end to end; of what is one value a rank, the first rank's."""
+    rows = rollouts(spark, d).select("event_id", "rank", F.col("rank").alias("first_rank"))
+    return rollout.repartitioned(rows, "rank", "event_id", 3, ["first_rank"]).select("event_id", "target_rank", "place", "first_rank", F.col("position").cast("long").alias("position"))
 
 
 @query("SELECT event_id, event_id % 5 AS endpoint, event_id // 16 AS batch FROM events")
@@ -104,19 +108,27 @@ def suffix_check(spark, d):
     return documents(spark, d).select("n", ends.alias("ends"), V.suffix_is(F.col("tokens"), ["the", "of"]).alias("is_suffix"))
 
 
-@query(f"""WITH {WITH_DOCS} SELECT n, list_concat(list_transform(range(len(tokens) // 2), lambda i: 0), list_transform(range(len(tokens) - len(tokens) // 2), lambda i: 1)) AS loss_mask FROM d""")
+@query(f"""WITH {WITH_DOCS}, q AS (SELECT n, len(tokens) // 3 AS p, len(tokens) AS t FROM d)
+SELECT n, list_concat(list_transform(range(p), lambda i: 0), list_transform(range(t + 2 - p), lambda i: 1)) AS loss_mask, t + 2 - p AS response_length FROM q""")
 def loss_mask(spark, d):
-    half = F.expr("size(tokens) div 2")
-    return documents(spark, d).select("n", V.loss_mask(half, F.size("tokens") - half).alias("loss_mask"))
+    """The prompt is a third of a document and a mark of its own; what both renders begin with is masked, what closes counts."""
+    third = F.slice("tokens", F.lit(1), F.expr("cast(size(tokens) div 3 as int)"))
+    renders = F.array(F.concat(third, F.array(F.lit("<prompt>"))), F.col("tokens"))
+    mask = V.response_mask(renders, F.array(F.lit("<end>"), F.lit("<turn>")))
+    return documents(spark, d).select("n", mask.alias("loss_mask")).withColumn("response_length", F.size(F.filter("loss_mask", lambda x: x == 1)).cast("long"))
 
 
 @query(f"""WITH {WITH_DOCS}, b AS (SELECT n // 8 AS batch, max(len(tokens)) AS wide FROM d GROUP BY 1)
-SELECT n, n // 8 AS batch, len(list_concat(tokens, list_transform(range(wide - len(tokens)), lambda i: '<pad>'))) AS padded_length, wide - len(tokens) AS n_pad FROM d JOIN b ON n // 8 = batch""")
+SELECT n, n // 8 AS batch, wide AS padded_length, wide - len(tokens) AS n_pad, len(tokens) AS n_mask,
+(sum(len(tokens)) OVER (PARTITION BY n // 8 ORDER BY n) - len(tokens))::BIGINT AS begins, (sum(len(tokens)) OVER (PARTITION BY n // 8 ORDER BY n))::BIGINT AS ends FROM d JOIN b ON n // 8 = batch""")
 def pad_pack(spark, d):
+    from brindle.operators.embedding import packed_rows
+
     rows = documents(spark, d).select("n", F.expr("n div 8").alias("batch"), "tokens")
     wide = rows.groupBy("batch").agg(F.max(F.size("tokens")).alias("wide"))
-    out = V.padded(F.col("tokens"), F.col("wide"), "<pad>")
-    return rows.join(wide, "batch").select("n", "batch", F.size(out).cast("long").alias("padded_length"), (F.col("wide") - F.size("tokens")).cast("long").alias("n_pad"))
+    out = packed_rows(rows.join(wide, "batch"), "batch", "n", "tokens", "<pad>", "wide")
+    pads = F.size(F.filter("mask", lambda x: x == 0)).cast("long")
+    return out.select("n", "batch", F.size("padded").cast("long").alias("padded_length"), pads.alias("n_pad"), (F.size("mask") - pads).alias("n_mask"), "begins", "ends")
 
 
 @query(f"""WITH {WITH_DOCS}, o AS (SELECT a.n, a.tokens AS a, b.tokens AS b FROM d a JOIN d b ON b.n = a.n + 1), z AS (SELECT n, list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]) AS same, least(len(a), len(b)) AS m FROM o)
@@ -128,6 +140,7 @@ def common_prefix(spark, d):
     return both.select("n", V.common_prefix(F.slice("tokens", F.lit(1), m), F.slice("other", F.lit(1), m)).alias("shared"))
 
 
+# What wrappers put before the names of a model's tensors.
 PREFIXES = ["model_state.model.", "model_state.", "model.", "module.", ""]
 
 

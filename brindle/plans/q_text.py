@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as X
 from brindle.operators import joins
-from brindle.plans.registry import WITH_CLEAN, WITH_ANSWERS, WITH_BASE, answers, base, clean, query, table, vectors
+from brindle.plans.registry import WITH_ANSWERS, WITH_BASE, WITH_CLEAN, answers, clean, kept_base, query, table, vectors
 
 CRITIC = X.Template("Summary of what follows.\n<text>{explanation}</text> <summary>", "explanation")
 ACTOR = "Describe what this vector holds: <concept>{injection_char}</concept>"
@@ -88,33 +88,33 @@ def cache_coalesce(spark, d):
 
 
 PRIOR = """prior AS (SELECT doc_id, n_raw_tokens, arg_max(value, ordinal) AS explanation FROM (
-  SELECT doc_id, n_raw_tokens, n AS ordinal, 'old ' || n_raw_tokens AS value FROM base WHERE n % 50 <> 0 UNION ALL SELECT doc_id, n_raw_tokens, n + 1, 'new ' || n_raw_tokens FROM base WHERE n % 3 = 0 AND n % 50 <> 0) GROUP BY ALL)"""
+  SELECT doc_id, n_raw_tokens, n AS ordinal, 'old ' || n_raw_tokens AS value FROM base UNION ALL SELECT doc_id, n_raw_tokens, n + 1, 'new ' || n_raw_tokens FROM base WHERE n % 3 = 0) GROUP BY ALL)"""
 
 
-def prior(spark, d, rows):
-    some = rows.where(F.pmod("n", F.lit(50)) != 0)
-    old = some.select("doc_id", "n_raw_tokens", F.col("n").alias("ordinal"), F.concat(F.lit("old "), F.col("n_raw_tokens").cast("string")).alias("explanation"))
-    new = some.where(F.pmod("n", F.lit(3)) == 0).select("doc_id", "n_raw_tokens", (F.col("n") + 1).alias("ordinal"), F.concat(F.lit("new "), F.col("n_raw_tokens").cast("string")).alias("explanation"))
-    return old.union(new)
+def prior(rows):
+    """An earlier run's rows, all of them, a third of them twice: the later of two wins."""
+    said = lambda word: F.concat(F.lit(f"{word} "), F.col("n_raw_tokens").cast("string")).alias("explanation")
+    old = rows.select("doc_id", "n_raw_tokens", F.col("n").alias("ordinal"), said("old"))
+    return old.union(rows.where(F.pmod("n", F.lit(3)) == 0).select("doc_id", "n_raw_tokens", (F.col("n") + 1).alias("ordinal"), said("new")))
 
 
 @query(f"WITH {WITH_BASE}, {PRIOR} SELECT doc_id, n_raw_tokens, explanation FROM base JOIN prior USING (doc_id, n_raw_tokens)")
 def exact_key_join(spark, d):
-    rows = base(spark, d)
-    return joins.exact_key_join(rows.select("doc_id", "n_raw_tokens"), prior(spark, d, rows), ["doc_id", "n_raw_tokens"], "ordinal", "explanation")
+    rows = kept_base(spark, d)
+    return joins.exact_key_join(rows.select("doc_id", "n_raw_tokens"), prior(rows), ["doc_id", "n_raw_tokens"], "ordinal", "explanation")
 
 
 @query(f"WITH {WITH_BASE}, {PRIOR} SELECT count(*) AS n_rows, count(prior.doc_id) AS n_matched, count(prior.doc_id) / count(*) AS rate FROM base LEFT JOIN prior USING (doc_id, n_raw_tokens)")
 def match_rate(spark, d):
-    rows = base(spark, d)
-    return joins.match_rate(rows, prior(spark, d, rows), ["doc_id", "n_raw_tokens"])
+    rows = kept_base(spark, d)
+    return joins.match_rate(rows, prior(rows), ["doc_id", "n_raw_tokens"])
 
 
 @query(f"WITH {WITH_BASE}, {PRIOR} SELECT sha256('<explanation>' || chr(10) || explanation || chr(10) || '</explanation>') AS key, explanation FROM prior")
 def recover_cache(spark, d):
     """Explanations recovered from a training table by inverting the wrapping."""
-    rows = base(spark, d)
-    last = joins.last_wins(prior(spark, d, rows), ["doc_id", "n_raw_tokens"], "ordinal", "explanation")
+    rows = kept_base(spark, d)
+    last = joins.last_wins(prior(rows), ["doc_id", "n_raw_tokens"], "ordinal", "explanation")
     response = last.select(X.wrapped(F.col("explanation")).alias("response"))
     return response.select(X.sha256(F.col("response")).alias("key"), X.payload(F.col("response")).alias("explanation"))
 
@@ -131,8 +131,8 @@ def told(df, prompt="prompt"):
 def training_rows(spark, d):
     from brindle.plans.stages import Explained
 
-    rows = base(spark, d)
-    rows = joins.exact_key_join(rows.select("doc_id", "n_raw_tokens", "v24"), prior(spark, d, rows), ["doc_id", "n_raw_tokens"], "ordinal", "explanation")
+    rows = kept_base(spark, d)
+    rows = joins.exact_key_join(rows.select("doc_id", "n_raw_tokens", "v24"), prior(rows), ["doc_id", "n_raw_tokens"], "ordinal", "explanation")
     v = vectors(spark, d).select(F.col("vec_id").alias("v24"), F.col("embedding").alias("activation_block_24"))
     return Explained(rows.join(v, "v24").withColumnRenamed("explanation", "api_explanation").drop("v24"))
 
@@ -160,24 +160,25 @@ def train_rl(spark, d):
     return told(build_training(training_rows(spark, d), "rl", actor=ACTOR, joint=[24]))
 
 
-MESSAGES = "m AS (SELECT conv_id, list({'role': role, 'content': text || CASE WHEN turn = 0 THEN ' <INJECT> and <INJECT>' ELSE '' END} ORDER BY turn, role, text) AS prompt FROM conversations GROUP BY conv_id)"
+MARKED = "text || CASE WHEN turn = 0 THEN ' <INJECT> and <INJECT>' ELSE '' END"
 
 
-def messages(spark, d):
+def turns(spark, d):
+    """Messages a row each: a conversation of any length is never one value. First turns hold two sites."""
     c = table(spark, d, "conversations")
     content = F.concat("text", F.when(F.col("turn") == 0, " <INJECT> and <INJECT>").otherwise(""))
-    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", content.alias("content")))).alias("turns"))
-    return turns.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("prompt"))
+    return c.select("conv_id", "turn", "role", "text", F.array(F.struct("role", content.alias("content"))).alias("prompt"))
 
 
-@query(f"WITH {MESSAGES} SELECT conv_id, list_sum(list_transform(prompt, lambda m: (length(m.content) - length(replace(m.content, '<INJECT>', ''))) // 8))::BIGINT AS n_sites FROM m")
+@query(f"SELECT conv_id, sum((length(x) - length(replace(x, '<INJECT>', ''))) // 8)::BIGINT AS n_sites FROM (SELECT conv_id, {MARKED} AS x FROM conversations) GROUP BY conv_id")
 def marker_count(spark, d):
-    return messages(spark, d).select("conv_id", X.count_in_messages(F.col("prompt"), "<INJECT>").alias("n_sites"))
+    """Sites of a conversation: counts of its messages, which add up before the shuffle."""
+    return turns(spark, d).groupBy("conv_id").agg(F.sum(X.count_in_messages(F.col("prompt"), "<INJECT>")).alias("n_sites"))
 
 
-@query(f"WITH {MESSAGES} SELECT conv_id, array_to_string(list_transform(prompt, lambda m: m.role || ': ' || replace(m.content, '<INJECT>', '㊗')), chr(10)) AS prompt FROM m")
+@query(f"SELECT conv_id, turn, role || ': ' || replace({MARKED}, '<INJECT>', '㊗') AS prompt FROM conversations")
 def marker_replace(spark, d):
-    return told(messages(spark, d).select("conv_id", X.replace_in_messages(F.col("prompt"), "<INJECT>", "㊗").alias("prompt")))
+    return told(turns(spark, d).select("conv_id", "turn", X.replace_in_messages(F.col("prompt"), "<INJECT>", "㊗").alias("prompt")))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || ' … [' || (length(text) - 100) || ' more chars]' ELSE text END AS shown,
@@ -189,3 +190,12 @@ def report_text(spark, d):
 @query(f"WITH {WITH_ANSWERS} SELECT doc_id, sha256(raw) AS raw_sha256 FROM a")
 def raw_answers(spark, d):
     return answers(spark, d).select("doc_id", X.sha256(F.col("raw")).alias("raw_sha256"))
+
+
+@query("WITH t AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents) SELECT doc_id, sha256(text) AS text_sha256 FROM t WHERE nth = 1")
+def ordered_distinct(spark, d):
+    """Distinct texts, each by its first row."""
+    from brindle.operators.ordering import first_by_key
+
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), "doc_id", X.sha256(F.col("text")).alias("text_sha256"))
+    return first_by_key(rows, ["text_sha256"], "ordinal").select("doc_id", "text_sha256")

@@ -13,6 +13,7 @@ from brindle.meta import Checkpoint
 from brindle.operators import joins, ordering
 from brindle.operators.contracts import require, require_columns
 from brindle.sources.datasets import spread
+from brindle.streaming.scoring import resumable
 
 INJECT = "<INJECT>"
 PLACE = "{injection_char}"
@@ -30,7 +31,7 @@ def default_actor_template(depths: list[int]) -> str:
     require(bool(depths), "no depths")
     if len(depths) == 1:
         return f"Describe what this vector holds: <concept>{PLACE}</concept>"
-    lines = "\n".join(f"{'Embedding checkpoint' if x == 0 else f'Block {x} checkpoint'}: <concept>{PLACE}</concept>" for x in depths)
+    lines = "\n".join(f"{'before any layer' if x == 0 else f'after layer {x}'}: <concept>{PLACE}</concept>" for x in depths)
     return f"Describe what these vectors hold together, earliest first.\n{lines}"
 
 
@@ -94,12 +95,19 @@ def split_documents(base: DataFrame, seed: int, fractions: dict[str, float], doc
     return base.join(ordering.document_split(base, doc_id, seed, fractions), doc_id)
 
 
-def explain(rows: DataFrame, provider, caches: list[DataFrame], *, pattern: str = X.ANSWER, least: int = 2, text: str = "detokenized_text_truncated") -> DataFrame:
-    """Stage 2: cached explanations where there are any, the provider's for the rest, cleaned; too short ones dropped."""
+def explain(rows: DataFrame, provider, caches: list[DataFrame], *, pattern: str = X.ANSWER, least: int = 2, text: str = "detokenized_text_truncated", chunks: int = 1, folder: str | None = None) -> DataFrame:
+    """Stage 2: cached explanations where there are any, the provider's for the rest, cleaned; too short ones dropped.
+
+    With a ``folder`` the provider's raw answers are kept there chunk by chunk as they come: a run that is broken off pays
+    for the chunks that were not done, and a changed input, provider or number of chunks reuses none.
+    """
     known = joins.cache_union(caches, "row", text, "api_explanation") if caches else None
     hits = joins.cache_lookup(rows, text, known, "api_explanation") if known is not None else rows.withColumn("api_explanation", F.lit(None).cast("string"))
     have, want = hits.where(F.col("api_explanation").isNotNull()), hits.where(F.col("api_explanation").isNull()).drop("api_explanation")
-    fresh = provider.complete(want, text, "_raw").withColumn("api_explanation", X.cleaned(F.col("_raw"), pattern)).drop("_raw")
+    answer = lambda part: provider.complete(part, text, "_raw")
+    told = {"provider": type(provider).__name__, "settings": getattr(provider, "settings", {})}
+    raw = answer(want) if folder is None else resumable(want, text, chunks, answer, folder, told)
+    fresh = raw.withColumn("api_explanation", X.cleaned(F.col("_raw"), pattern)).drop("_raw")
     return have.unionByName(fresh).where(X.worth_keeping(F.col("api_explanation"), least))
 
 
@@ -115,6 +123,9 @@ def shuffle(rows: DataFrame, key: str, seed: int, dataset_id: str) -> DataFrame:
 
 
 def shuffle_bundles(rows: DataFrame, key: str, bundle: list[str], seed: int, dataset_id: str) -> DataFrame:
+    """The baseline: all columns of ``bundle`` move by one permutation, texts and keys stay."""
+    require_columns(rows, key, *bundle)
+    require(bool(bundle), "no columns to move")
     return ordering.bundle_permutation(rows, key, bundle, seed, dataset_id)
 
 
