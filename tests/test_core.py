@@ -98,7 +98,7 @@ def test_scaling_keeps_zero(spark):
     with pytest.raises(ValueError):
         V.target_scale("other", 64)
     with pytest.raises(Exception, match="expected 3 components"):
-        df.select(V.checked_width(F.col("v"), 3)).collect()
+        df.select(V.checked_vector(F.col("v"), 3)).collect()
 
 
 def test_rewards(spark):
@@ -184,6 +184,7 @@ def test_markers(spark):
 def test_rank_truncation(spark):
     df = spark.createDataFrame([(r, i) for r, n in ((0, 9), (1, 7), (2, 12)) for i in range(n)], "rank long, i long")
     got = rollout.rank_min_truncate(df, "rank", "i", 3).collect()
+    assert all(r["i"] < 6 for r in got)
     assert len(got) == 18 and {r["global_rows"] for r in got} == {18}
     with pytest.raises(ValueError):
         rollout.ranges(df, "i", 2, 3)
@@ -235,7 +236,7 @@ def test_whole_pipeline(spark, sf_dir, tmp_path):
     }
     extractor = TableExtractor(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     sent = []
-    finals = P.run(spark, config, docs, extractor, EchoProvider(), upload=sent.extend, overrides=["positions=4"])
+    finals = P.run(spark, config, docs, extractor, EchoProvider(), upload=lambda files, name: sent.extend(files[:4]), overrides=["positions=4"])
     assert sent == finals and len(finals) == 4
     for path in finals:
         df, meta = storage.read_dataset(spark, path)
@@ -262,7 +263,7 @@ def test_providers(spark):
     df = spark.createDataFrame([("a",), ("b",)], "t string")
     got = CallableProvider(lambda xs: [x.upper() if x == "a" else None for x in xs]).complete(df, "t", "r")
     assert {tuple(r) for r in got.collect()} == {("a", "A"), ("b", None)}
-    with pytest.raises(Exception, match="2 texts, 1 answers|1 texts, 0 answers"):
+    with pytest.raises(Exception, match="2 rows, 1 results|1 rows, 0 results"):
         CallableProvider(lambda xs: xs[1:]).complete(df.coalesce(1), "t", "r").collect()
 
 
