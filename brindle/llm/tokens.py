@@ -4,18 +4,24 @@ A vocabulary string is *whole* if the merges, run on it alone, give one token; t
 a vocabulary is loaded. Texts are cut into pre-tokens by the vocabulary's own pattern; a pre-token that is a whole
 string costs one lookup, and only the others are merged, once each while they stay in a bounded memo.
 
-Texts in which the shortcut is not proved to agree with the library (special strings, characters beyond the proved
-range) are given to the library itself, whole.
-
-Defined results: a null text counts as empty (0 tokens, 0 bytes); empty texts have 0 tokens; repeated rows give
-repeated results; an empty table gives an empty table; columns other than the id and the text are never read.
+Texts of characters below U+0180 are cut by the pattern with its classes spelt out, which is proved equal there. Other
+texts are taken in runs that end before a space that follows something else, where no pre-token can go on; runs with
+characters beyond are normalised and cut by the library's own pre-tokenizer, and only their pre-tokens are looked up and
+merged here. A text that holds a special string is given to the library whole.
+
+Defined results: a null text counts as empty (0 tokens, 0 bytes); empty texts have 0 tokens; very long texts are counted
+whole, run by run; repeated rows give repeated results; an empty table gives an empty table; columns other than the id
+and the text are never read.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -24,10 +30,12 @@ from pyspark.sql import types as T
 
 #: The pattern of byte-level pre-tokenizers that have use_regex set (fixed value of the public library).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts with characters from U+0180 on go to the library: below, character classes and lower case are proved equal.
+#: From U+0180 on the library cuts; below, character classes and lower case are proved equal.
 BEYOND = re.compile("[^\x00-ſ]")
+#: Where a run may end, and its least length.
+CUT, RUN = re.compile(r"(?<=\S)(?=[ \n\t])"), 256
 #: Pre-tokens that are merged rather than looked up stay in the memo up to this many; then it starts anew.
-MEMO = 300_000
+MEMO = 200_000
 #: Texts longer than this are scanned pre-token by pre-token, not as one list.
 LONG = 2_000_000
 
@@ -104,39 +112,79 @@ class Vocabulary:
         bytes_of = {c: b for b, c in enumerate(self.letters)}
         suffix = spec["model"]["end_of_word_suffix"] or ""
         self.whole: dict[str, int] = {}
+        self.whole_letters: dict[str, int] = {}
         for token, at in spec["model"]["vocab"].items():
             body = token[: len(token) - len(suffix)] if suffix and token.endswith(suffix) else token if not suffix else ""
+            if not body or [t.id for t in self.library.model.tokenize(body)] != [at]:
+                continue
+            self.whole_letters[body] = at
             try:
-                text = bytes(bytes_of[c] for c in body).decode()
+                self.whole[bytes(bytes_of[c] for c in body).decode()] = at
             except (KeyError, UnicodeDecodeError):
                 continue
-            if text and [t.id for t in self.library.model.tokenize(body)] == [at]:
-                self.whole[text] = at
-        self.counts = Memo(dict.fromkeys(self.whole, 1), lambda p: len(self.merged(p)))
-        self.packed = Memo({k: v.to_bytes(4, "little") for k, v in self.whole.items()}, lambda p: b"".join(t.to_bytes(4, "little") for t in self.merged(p)))
-
-    def merged(self, piece: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize("".join([self.letters[b] for b in piece.encode()]))]
-
-    def pieces(self, text: str):
-        """Pre-tokens of a text in the proved range; None if the library must take the text."""
-        if self.specials.search(text) or BEYOND.search(text):
-            return None
+
+    # value of a pre-token, as text and in the letters of bytes: how many tokens, and their ids
+
+    @functools.cached_property
+    def counts(self) -> tuple[Memo, Memo]:
+        return Memo(dict.fromkeys(self.whole, 1), lambda p: len(self.merged(self.lettered(p)))), Memo(dict.fromkeys(self.whole_letters, 1), lambda p: len(self.merged(p)))
+
+    @functools.cached_property
+    def packed(self) -> tuple[Memo, Memo]:
+        four = lambda ids: b"".join([t.to_bytes(4, "little") for t in ids])
+        of = lambda whole: {k: v.to_bytes(4, "little") for k, v in whole.items()}
+        return Memo(of(self.whole), lambda p: four(self.merged(self.lettered(p)))), Memo(of(self.whole_letters), lambda p: four(self.merged(p)))
+
+    def lettered(self, piece: str) -> str:
+        return "".join([self.letters[b] for b in piece.encode()])
+
+    def merged(self, letters: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(letters)]
+
+    def pieces(self, text: str) -> Iterable[str]:
+        """Pre-tokens of a text in the proved range."""
         text = text.lower() if self.lower else text
         return self.pattern.findall(text) if len(text) <= LONG else (m[0] for m in self.pattern.finditer(text))
 
+    def library_pieces(self, run: str) -> list[str]:
+        """Pre-tokens of a run as the library cuts it, in the letters of bytes."""
+        normal = self.library.normalizer
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal.normalize_str(run) if normal else run)]
+
+    def values(self, text: str, memos: tuple[Memo, Memo]) -> Iterator:
+        plain, letters = memos
+        if BEYOND.search(text) is None:
+            return map(plain.__getitem__, self.pieces(text))
+        return itertools.chain.from_iterable(
+            map(plain.__getitem__, self.pieces(run)) if BEYOND.search(run) is None else map(letters.__getitem__, self.library_pieces(run)) for run in runs(text)
+        )
+
+    def is_special(self, text: str) -> bool:
+        """Whether the library must take the whole text."""
+        return self.specials.search(text) is not None
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        pieces = self.pieces(text)
-        return len(self.library.encode(text, add_special_tokens=False).ids) if pieces is None else sum(map(self.counts.__getitem__, pieces))
+        return len(self.library.encode(text, add_special_tokens=False).ids) if self.is_special(text) else sum(self.values(text, self.counts))
 
     def ids(self, text: str | None) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        pieces = self.pieces(text)
-        return b"".join(t.to_bytes(4, "little") for t in self.library.encode(text, add_special_tokens=False).ids) if pieces is None else b"".join(map(self.packed.__getitem__, pieces))
+        if self.is_special(text):
+            return b"".join([t.to_bytes(4, "little") for t in self.library.encode(text, add_special_tokens=False).ids])
+        return b"".join(self.values(text, self.packed))
+
+
+def runs(text: str) -> Iterator[str]:
+    """A text in runs that no pre-token spans."""
+    at = 0
+    while at < len(text):
+        m = CUT.search(text, at + RUN)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
 
 
 _LOADED: dict[int, Vocabulary] = {}
