@@ -11,14 +11,17 @@ statistics and scores cover all.
 Defined results: null texts count as empty and are scored like any text; a document labelled more than once has the
 mean of its labels, rounded up; labels that are null teach nothing; without labels, or with labels of one kind only,
 all scores are the smoothed share of label 1; a null id is not held out and teaches nothing; repeated rows get
-repeated results; an empty table gives an empty table; other columns are not read.
+repeated results, and of rows under one id the least statistics teach; equal statistics get equal scores; very long texts
+are read whole, a part at a time; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import operator
+import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +34,8 @@ from brindle.llm.common import arrow_rows, written
 SAMPLE, TREES, DEPTH, RATE, BINS, LEAF = 20_000, 40, 3, 0.3, 32, 20
 #: Weight of the lasso penalty against the mean loss, and rounds of the proximal gradient.
 PENALTY, ROUNDS = 5e-4, 400
+#: Characters of a text that are taken apart at once, and where parts may end.
+PART, BLANK = 1 << 20, re.compile(r"\s")
 #: Kinds of characters that are counted.
 KINDS = ("lower", "upper", "other_letter", "digit", "mark", "symbol", "blank", "line")
 MARKS = frozenset(".,;:!?'\"()-")
@@ -52,16 +57,33 @@ def kinds() -> np.ndarray:
     return _KIND[0]
 
 
+def parts(text: str, wide: int = 0) -> Iterator[str]:
+    """A text in parts of about ``wide`` characters that end before white space, so that no word is cut."""
+    at, wide = 0, wide or PART
+    while at < len(text):
+        m = BLANK.search(text, at + wide)
+        yield text[at : m.start() if m else len(text)]
+        at = m.start() if m else len(text)
+
+
 def statistics(text: str | None) -> tuple[float, ...]:
     text = text or ""
-    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
-    lower, upper, other, digit, mark, symbol, _, _ = np.bincount(kinds()[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)], minlength=8).tolist()
+    lines = [x for x in text.split("\n") if x.strip()]
+    by_kind, counts, again, n_words, last = np.zeros(8, dtype=np.int64), Counter(), 0, 0, None
+    for part in parts(text):
+        by_kind += np.bincount(kinds()[np.frombuffer(part.encode("utf-32-le"), dtype=np.uint32)], minlength=8)
+        words = part.split()
+        if words:
+            counts.update(words)
+            again += sum(map(operator.eq, words, words[1:])) + (words[0] == last)
+            n_words, last = n_words + len(words), words[-1]
+    lower, upper, other, digit, mark, symbol, _, _ = by_kind.tolist()
     letters, shown = lower + upper + other, max(1, lower + upper + other + digit + mark + symbol)
-    n, counts = max(1, len(words)), Counter(words)
+    n = max(1, n_words)
     return (
-        float(len(text)), float(len(words)), float(len(lines)), shown / n, len(words) / max(1, len(lines)),
+        float(len(text)), float(n_words), float(len(lines)), shown / n, n_words / max(1, len(lines)),
         upper / max(1, letters), letters / shown, digit / shown, mark / shown, symbol / shown, text.count("!") / n,
-        sum(map(operator.eq, words, words[1:])) / n, len(counts) / n, max(counts.values(), default=0) / n,
+        again / n, len(counts) / n, max(counts.values(), default=0) / n,
         1 - len(set(lines)) / max(1, len(lines)), sum(x.rstrip().endswith((".", "!", "?", ":")) for x in lines) / max(1, len(lines)),
     )
 
@@ -190,9 +212,11 @@ def learn(stats: DataFrame, labels: DataFrame, learnable: Column, id_col: str =
     known = labels.where(learnable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(F.col(label_col)) >= 0.5).cast("int").alias("_label"))
     n = known.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.col("_id").cast("string")), 11) / F.lit(float(1 << 53))
-    rows = stats.join(known.where(draw < F.lit(sample / max(1, n))), F.col(id_col) == F.col("_id")).select("_id", "_label", *STATS).collect()
-    rows.sort(key=lambda r: (r["_id"], *r[1:]))
-    return fit(np.array([r[2:] for r in rows], dtype=np.float64).reshape(-1, len(STATS)), np.array([r["_label"] for r in rows], dtype=np.float64))
+    rows = stats.join(known.where(draw < F.lit(sample / max(1, n))), F.col(id_col) == F.col("_id"))
+    # one row an id, however often it is repeated: the driver gets no more
+    rows = rows.groupBy("_id", "_label").agg(F.min(F.struct(*STATS)).alias("_stats")).collect()
+    rows.sort(key=lambda r: r["_id"])
+    return fit(np.array([list(r["_stats"]) for r in rows], dtype=np.float64).reshape(-1, len(STATS)), np.array([r["_label"] for r in rows], dtype=np.float64))
 
 
 def score(docs: DataFrame, labels: DataFrame, out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.3) -> DataFrame:
