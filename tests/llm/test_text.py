@@ -1,8 +1,11 @@
 """Language, tokens, personal data, quality: against the plain way, and their edges."""
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -52,6 +55,36 @@ def test_ranked_ngrams(text):
     assert got == [g for g, _ in brute_ranked(text, 1000)]
 
 
+@pytest.mark.parametrize("part", [1, 2, 3, 5, 1000])
+def test_ngrams_in_parts(part):
+    for text in ("the  house, of 12 the mooñ!", " a", "a ", "  ", "日本 語x", "a" * 40):
+        whole, own = language.grams(text), language.grams(text, part)
+        assert (whole is None and own is None) or all((x == y).all() for x, y in zip(whole, own, strict=True))
+
+
+def test_profiles_and_predictions_by_brute_force(spark, sf_dir):
+    """Profiles by counting every n-gram of every learnable text, distances by going through them one by one."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    learnable = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"]]
+    by = {}
+    for r in learnable:
+        for g, n in brute_ranked(r["text"], None):
+            own = by.setdefault(r["lang"], {})
+            own[g] = own.get(g, 0) + n
+    order = lambda x: (-x[1], [ord(c) for c in x[0]] + [0] * (3 - len(x[0])))
+    profiles = {lang: {g: k for k, (g, _) in enumerate(sorted(found.items(), key=order)[: language.PROFILE])} for lang, found in by.items()}
+    got = {r["doc_id"]: r for r in QUERIES["op1_language_id"](spark, sf_dir).collect()}
+    for r in rows:
+        own = [g for g, _ in brute_ranked(r["text"] or "", language.RANKED)]
+        if not own:
+            assert got[r["doc_id"]]["lang_pred"] == "und" and got[r["doc_id"]]["score"] == 0
+            continue
+        away = {lang: sum(abs(p[g] - k) if g in p else language.PROFILE for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        assert got[r["doc_id"]]["lang_pred"] == best
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 - away[best] / (language.PROFILE * len(own)))
+
+
 def test_language_prediction_by_hand():
     p = language.Profiles([("aa", k, r) for r, k in enumerate(language.ranked("la casa de la luna", 400).tolist())] + [("bb", k, r) for r, k in enumerate(language.ranked("the moon of the house", 400).tolist())])
     assert p.predict("la luna")[0] == "aa" and p.predict("the house")[0] == "bb"
@@ -106,6 +139,28 @@ def test_special_strings_and_long_texts(vocabularies):
             assert v.count(text) == len(v.library.encode(text, add_special_tokens=False).ids)
 
 
+MANY = ["it’s “so” — a plain text with one quote", "Привет, мир! Это  текст\n\n и ещё.", "日本語の文章。  中文　字", "Σίσυφος ΟΔΟΣ ς", "ก็ไทย", "👩‍👩‍👧 x 🇩🇪", "é é İı ǅ ﬁ", "١٢٣ ⅷ ²", "\u2003 \u2003a \x85 b\x1c c"]
+
+
+@pytest.mark.parametrize("run", [1, 5, 256])
+def test_every_script_without_the_library_whole(vocabularies, monkeypatch, run):
+    monkeypatch.setattr(tokens, "RUN", run)
+    for v in vocabularies.values():
+        handed = 0
+        for text in [*MANY, " ".join(MANY), *(f"{a} {b}" * 40 for a in MANY for b in MANY)]:
+            want = v.library.encode(text, add_special_tokens=False).ids
+            assert v.count(text) == len(want) and v.ids(text) == np.array(want, "<u4").tobytes()
+            handed += v.is_special(text)
+        assert handed == 0
+
+
+def test_every_character(vocabularies):
+    for v in vocabularies.values():
+        for low in range(0, 0x110000, 8192):
+            text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}!" for c in range(low, low + 8192) if not 0xD800 <= c < 0xE000)
+            assert v.count(text) == len(v.library.encode(text, add_special_tokens=False).ids)
+
+
 def test_whole_strings_are_proved(vocabularies):
     v = vocabularies["byte_bpe_50k.json"]
     assert len(v.whole) > 40_000 and all(v.library.encode(p, add_special_tokens=False).ids == [i] for p, i in list(v.whole.items())[::97] if v.pattern.findall(p) == [p])
@@ -223,3 +278,53 @@ def test_quality_query_on_held_out(spark, sf_dir):
     out = [r for r in rows if r["held_out"]]
     assert np.mean([r["predicted"] == r["quality"] for r in out]) > 0.85
     assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def plain_statistics(text):
+    text = text or ""
+    kind = Counter(next((k for k, cs in (("mark", quality.MARKS), ("line", "\n")) if c in cs), {"Ll": "lower", "Lu": "upper", "Lt": "upper", "Lm": "other", "Lo": "other", "Mn": "other", "Mc": "other", "Nd": "digit", "Nl": "digit", "No": "digit", "Zs": "blank", "Cc": "blank"}.get(unicodedata.category(c), "symbol")) for c in text)
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    letters = kind["lower"] + kind["upper"] + kind["other"]
+    shown = max(1, letters + kind["digit"] + kind["mark"] + kind["symbol"])
+    n = max(1, len(words))
+    return [
+        len(text), len(words), len(lines), shown / n, len(words) / max(1, len(lines)), kind["upper"] / max(1, letters), letters / shown, kind["digit"] / shown, kind["mark"] / shown, kind["symbol"] / shown,
+        text.count("!") / n, sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n, max((words.count(w) for w in set(words)), default=0) / n, 1 - len(set(lines)) / max(1, len(lines)),
+        sum(x.rstrip()[-1] in ".!?:" for x in lines) / max(1, len(lines)),
+    ]
+
+
+@pytest.mark.parametrize("part", [1, 4, 1 << 20])
+def test_statistics_by_hand(monkeypatch, part):
+    monkeypatch.setattr(quality, "PART", part)
+    for text in ("", None, "One two two. THREE!\nOne two two. THREE!\n\n é 12 ٣ ǅ?", "a  a a\tb", " x", "\x1c y\u2003z z"):
+        assert quality.statistics(text) == pytest.approx(plain_statistics(text))
+
+
+def test_quality_by_brute_force(spark, sf_dir):
+    """The same fit on statistics counted by hand, every rule of it held against every document by going through its parts."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["quality"] is not None}
+    stats = {r["doc_id"]: plain_statistics(r["text"]) for r in rows}
+    taught = sorted(i for i in labels if i in stats)
+    rules = quality.fit(np.array([stats[i] for i in taught], dtype=np.float64), np.array([labels[i] for i in taught], dtype=np.float64))
+    assert rules.rules
+    for r in QUERIES["op10_quality"](spark, sf_dir).collect():
+        total, own = rules.bias, dict(zip(quality.STATS, stats[r["doc_id"]], strict=True))
+        for rule, weight in zip(rules.rules, rules.weights, strict=True):
+            total += weight * all(own[name] > bound if above else own[name] <= bound for name, above, bound in rule)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total))) and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_rows_under_one_id_teach_once(spark):
+    d = docs(spark, [(1, "Good words here.", "en")] * 50 + [(1, "other", "en"), (2, "!!!", "en"), (3, "x y", "en")])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (2, None)], "doc_id long, quality int")
+    got = quality.score(d, labels, F.lit(False)).collect()
+    assert len(got) == 53 and len({r["score"] for r in got if r["doc_id"] == 1}) <= 2
+
+
+def test_very_long_texts(spark):
+    d = docs(spark, [(1, "The house of the moon. " * 200_000, "en"), (2, "la casa de la luna " * 50, "es")])
+    assert [r["lang_pred"] for r in language.identify(d, language.learn(d, F.lit(True)), ["doc_id"]).orderBy("doc_id").collect()] == ["en", "es"]
+    assert [r["n_tokens"] for r in tokens.count_tokens(d, tokenizer_file("byte_bpe_50k.json")).orderBy("doc_id").collect()][0] > 1_000_000
+    assert quality.measured(d).where("doc_id = 1").first()["words"] == 1_000_000
