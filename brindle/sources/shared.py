@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -51,11 +52,32 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._brindle_path = path
+    if not _WRITTEN:
+        atexit.register(discard_all)
+    _WRITTEN.add(path)
     return out
 
 
+#: Tables of this application that are still there.
+_WRITTEN: set[str] = set()
+
+
+def _delete(path: str) -> None:
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that nothing will read again."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._brindle_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df._brindle_path)
+
+
+def discard_all() -> None:
+    """Delete all tables that this application has written and not discarded: once its results are written, or as it ends
+    with its session still up. What a lazy result still reads must not be among them."""
+    if SparkSession.getActiveSession() is not None:
+        for path in sorted(_WRITTEN):
+            with contextlib.suppress(Exception):
+                _delete(path)
