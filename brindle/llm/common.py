@@ -2,43 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from brindle.sources.shared import discard, shared_folder, tidy, written  # noqa: F401
+
 #: What counts as white space in texts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"\x20\x09-\x0D"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="brindle-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct: whatever they are called, they clash with no column that an operator adds."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back. Lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/brindle-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._brindle_path = path
-    return out
 
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing will read again."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._brindle_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return sortable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(sortable(f.dataType) for f in kind)
+    return isinstance(kind, (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -46,25 +33,17 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == remainder, F.lit(False)) & doc_id.isNotNull()
 
 
-def arrow_rows(batches: Iterator, rows: int = 512) -> Iterator:
-    """Slices of at most ``rows`` rows, so that what Python holds at once stays small."""
+def arrow_rows(batches: Iterator, rows: int = 512, most: int = 1 << 23) -> Iterator:
+    """Slices of at most ``rows`` rows and ``most`` bytes (a longer row is a slice of its own), so that what Python holds
+    at once stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def map_rows(df: DataFrame, fn: Callable[[list[dict]], dict], schema: T.StructType) -> DataFrame:
-    """mapInArrow with ``fn`` from a dict of lists (a slice's columns) to a dict of lists under ``schema``."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    def run(batches):
-        arrow = to_arrow_schema(schema)
-        for part in arrow_rows(batches):
-            out = fn(part.to_pydict())
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.num_rows > 1 and part.nbytes > most:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
@@ -101,26 +80,31 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     return roots
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[str], salt: Column, rank: str = "rank", per_bucket: int = 1000) -> DataFrame:
+def salted_rank(df: DataFrame, keys: list[str], order: list[str], salt: Column, rank: str = "rank", per_bucket: int = 1000, weight: Column | None = None) -> DataFrame:
     """Add ``rank``: 0, 1, ... within ``keys``, a key's rows dealt by ``salt`` over count / per_bucket buckets.
 
     No task ranks more than about ``per_bucket`` rows of one key, however hot it is: each bucket starts where the
     buckets before it end. Ranks follow the bucket, then ``order`` (which should tell all rows of a bucket apart).
-    Nulls in ``keys`` are a key of their own.
+    With a ``weight``, a row stands for so many and gets the rank of its first. Nulls in ``keys`` are a key of their own.
+    Columns of ``df`` must not begin with ``_salted_``.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    same = [df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    sizes = sizes.where(F.col("_n") > per_bucket).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.ceil(F.col("_n") / per_bucket).alias("_buckets"))
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    dealt = df.join(sizes, on, "left").withColumn("_bucket", F.coalesce(F.pmod(salt, F.col("_buckets")), F.lit(0))).drop("_buckets", *[f"_k{i}" for i in range(len(keys))])
-    starts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")).where("_start > 0")
-    on = dealt["_bucket"] == F.col("_kb")
-    for i, k in enumerate(keys):
-        on = on & dealt[k].eqNullSafe(F.col(f"_k{i}"))
-    ranked = dealt.join(starts, on, "left")
-    local = F.row_number().over(W.Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
-    return ranked.withColumn(rank, (F.coalesce("_start", F.lit(0)) + local).cast("long")).drop("_start", "_bucket", "_kb", *[f"_k{i}" for i in range(len(keys))])
+    one = F.lit(1) if weight is None else weight
+    names = [f"_salted_k{i}" for i in range(len(keys))]
+    as_names = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+
+    def alike(left: DataFrame) -> Column:
+        on = F.lit(True)
+        for k, n in zip(keys, names, strict=True):
+            on = on & left[k].eqNullSafe(F.col(n))
+        return on
+
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_salted_n")).where(F.col("_salted_n") > per_bucket)
+    sizes = sizes.select(*as_names, F.ceil(F.col("_salted_n") / per_bucket).alias("_salted_buckets"))
+    dealt = df.join(sizes, alike(df), "left").withColumn("_salted_bucket", F.coalesce(F.pmod(salt, F.col("_salted_buckets")), F.lit(0))).drop("_salted_buckets", *names)
+    totals = dealt.groupBy(*keys, "_salted_bucket").agg(F.sum(one).alias("_salted_n"))
+    before = W.Window.partitionBy(*keys).orderBy("_salted_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = totals.select(*as_names, F.col("_salted_bucket").alias("_salted_b"), F.coalesce(F.sum("_salted_n").over(before), F.lit(0)).alias("_salted_start")).where("_salted_start > 0")
+    ranked = dealt.join(starts, (dealt["_salted_bucket"] == F.col("_salted_b")) & alike(dealt), "left")
+    within = W.Window.partitionBy(*keys, "_salted_bucket").orderBy(*order)
+    local = F.row_number().over(within) - 1 if weight is None else F.coalesce(F.sum(one).over(within.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    return ranked.withColumn(rank, (F.coalesce("_salted_start", F.lit(0)) + local).cast("long")).drop("_salted_start", "_salted_bucket", "_salted_b", *names)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from brindle.llm.common import written
+from brindle.llm.common import sortable, whole_row, written
 
 BLOCK, BUCKETS = 4096, 1 << 16
 #: Runs that are not yet a single space.
@@ -89,13 +89,28 @@ def text_sha(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
+def repeated_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id): the ids of two rows or more, null among them. Combined before the shuffle."""
+    return docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+
+
 def only(docs: DataFrame, stays: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id and text are in ``stays`` (id, sha); of rows repeated under
-    one id and text, the first by the order of the other columns."""
-    stays = stays.select(F.col("id").alias("_stays"), F.col("sha").alias("_sha"))
-    kept = docs.withColumn("_own", text_sha(F.col(text_col))).join(stays, F.col(id_col).eqNullSafe(F.col("_stays")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    first = F.row_number().over(W.Window.partitionBy(id_col, "_own").orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)], text_col))
-    return kept.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    one id and text, the first by the order of the other columns (of those that have an order).
+
+    Where no id is repeated, ids tell the rows and texts are not looked at.
+    """
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("own"))
+    several = written(repeated_ids(docs, id_col), "repeated")
+    if several.isEmpty():
+        return rows.join(stays.select("id").hint("merge"), F.col("own").eqNullSafe(F.col("id")), "left_semi").select("row.*")
+    among = lambda how: rows.join(several, F.col("own").eqNullSafe(F.col("id")), how)
+    single = among("left_anti").join(stays.select("id"), F.col("own").eqNullSafe(F.col("id")), "left_semi").select("row")
+    hashed = among("left_semi").withColumn("hash", text_sha(F.col("row")[text_col]))
+    hashed = hashed.join(stays, F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("sha")), "left_semi")
+    order = [F.col("row")[f.name] for f in docs.schema if f.name not in (id_col, text_col) and sortable(f.dataType)]
+    first = hashed.groupBy("own", "hash").agg(F.min_by("row", F.struct(*order, F.col("row")[text_col])).alias("row"))
+    return single.union(first.select("row")).select("row.*")
 
 
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
