@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.common import arrow_rows, components, written
-from brindle.llm.exact import only, text_sha
+from brindle.llm.exact import only, repeated_ids, text_sha
 from brindle.llm.links import forest, grouped, pairs_of_small, runs, stars, whole_groups
 
 SEED = 42
@@ -146,7 +146,7 @@ def links(distinct: DataFrame, radius: int = 3, groups: int = 2, fp: str = "fp")
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(own[np.concatenate(left)]), pa.array(own[np.concatenate(right)])], names=["a", "b"])
 
-    cells = distinct.select(F.col(fp).alias("fp")).mapInArrow(deal, "cell long, steps int, fp long")
+    cells = written(distinct.select(F.col(fp).alias("fp")).mapInArrow(deal, "cell long, steps int, fp long"), "cells")
     # two that meet take at most ``most`` steps together, so one of them takes at most half
     return grouped(cells, "cell", F.xxhash64("fp"), compare, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]), F.min("steps") <= most // 2)
 
@@ -166,17 +166,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near-duplicates by similarity: fingerprints and rare shingles propose, shingle sets decide.
 
-#: Fingerprints this far apart are compared: of shingle sets with similarity 0.8 a quarter is further apart than 11 bits,
-#: which the grid of 4 parts finds for sure, and a tenth further than 13, most of which it finds.
-REACH, PARTS = 13, 4
-#: The second fingerprint's reach, and an odd number that stirs hashes for it (the golden ratio in 64 bits).
-REACH2, STIR = 20, 0x9E3779B97F4A7C15
+#: Fingerprints this far apart are compared, by a grid of as many parts, all of them: what copies with few changes are.
+#: A wider reach needs cells of fewer segments, whose rows grow with the square of the documents.
+REACH, PARTS = 3, 2
 #: Bounds on similarities are loosened by this much, for rounding.
 SLACK = 1e-9
-#: More pairs than this for each item of a cell are a dense group, which is verified as a group instead.
+#: More pairs than this for each item of a cell come as stars of what they connect, which is verified as a group: all
+#: pairs of it, so that no link is lost, and none of them leaves its task.
 DENSE = 1
 #: Documents of the sample that tells common shingles, and in how many of them one stands at least to be common.
-SAMPLE, COMMON = 8192, 4
+SAMPLE, COMMON = 65_536, 4
 
 
 PROPOSED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("dense", T.BooleanType())])
@@ -202,7 +201,7 @@ def proposals(a: list[np.ndarray], b: list[np.ndarray], dense: list[np.ndarray])
 
 
 def candidates(texts: DataFrame, reach: int = REACH, groups: int = PARTS) -> DataFrame:
-    """(a, b, dense): nodes of ``texts`` (node, fp) whose fingerprints are within ``reach`` bits that a part of the grid brings together.
+    """(a, b, dense): nodes of ``texts`` (node, fp) whose fingerprints are within ``reach`` bits, all of them.
 
     Pairs of a cell that has few of them come as they are. Where a cell has many, as among thousands of near copies,
     come the stars of its components, marked dense: what they connect is to be verified as a group.
@@ -210,7 +209,7 @@ def candidates(texts: DataFrame, reach: int = REACH, groups: int = PARTS) -> Dat
     import pyarrow as pa
 
     wide = 64 // groups
-    most = reach // (groups + 1)
+    most = reach // groups
 
     def deal(batches):
         for part in arrow_rows(batches, 4096):
@@ -254,10 +253,8 @@ def candidates(texts: DataFrame, reach: int = REACH, groups: int = PARTS) -> Dat
             if a:
                 yield proposals(a, b, dense)
 
-    cells = texts.select("node", "fp").mapInArrow(deal, "cell long, steps byte, fp long, node long")
-    # the cells are the counts of PARTS times so many segments: 4 x 3^8 here
-    few = groups * 3 ** (wide // 2) <= 100_000
-    return grouped(cells, "cell", F.xxhash64("node"), compare, PROPOSED, F.min("steps") <= most // 2, few_cells=few)
+    cells = written(texts.select("node", "fp").mapInArrow(deal, "cell long, steps byte, fp long, node long"), "cells")
+    return grouped(cells, "cell", F.xxhash64("node"), compare, PROPOSED, F.min("steps") <= most // 2)
 
 
 def shingles(text: bytes | None, shingle: int) -> np.ndarray:
@@ -269,7 +266,8 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -
     """The shingles of ``COMMON`` or more documents of a sample, sorted, and for each the log of their number, rounded down.
 
     They only order shingles, the rare before the common: any order that is one for all texts finds all pairs, so the
-    sample decides how many texts meet in vain and nothing else. At most ``SAMPLE`` / ``COMMON`` texts' worth come back.
+    sample decides how many texts meet in vain and nothing else. At most ``SAMPLE`` / ``COMMON`` texts' worth come back, as
+    8 bytes a shingle, and go to all executors.
     """
     import pyarrow as pa
 
@@ -300,94 +298,129 @@ def prefix(h: np.ndarray, least: float, common: np.ndarray, level: np.ndarray) -
 
 
 def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int, least: float = 0.8, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """The columns ``keep``, the fingerprint of the distinct shingles, a second one from the same hashes stirred, how many
-    they are, and the prefix of them. Repeats don't count, as they don't in the similarity that decides."""
+    """The columns ``keep``, a digest of the words, the fingerprint of the distinct shingles, how many they are, and the
+    prefix of them. Repeats don't count, as they don't in the similarity that decides."""
+    import hashlib
+
     import pyarrow as pa
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in ("fp", "fp2", "n")), T.StructField("rare", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("words", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("fp", "n")), T.StructField("rare", T.ArrayType(T.LongType()))])
     known, level = common or (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8))
 
     def run(batches):
         for part in arrow_rows(batches):
-            rows, rare = np.zeros((part.num_rows, 3), dtype=np.int64), []
+            rows, words, rare = np.zeros((part.num_rows, 2), dtype=np.int64), [], []
             for k, t in enumerate(part.column(len(keep))):
-                h = np.unique(hashed_shingles(t.as_py(), shingle))
-                stirred = (h ^ (h >> np.uint64(29))) * np.uint64(STIR)
-                stirred ^= stirred >> np.uint64(32)
-                rows[k] = majority(h).view(np.int64), majority(stirred).view(np.int64), len(h)
+                text = t.as_py() or b""
+                h = np.unique(hashed_shingles(text, shingle))
+                rows[k] = majority(h).view(np.int64), len(h)
+                words.append(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest())
                 rare.append(prefix(h, least, known, level).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(rows[:, c]) for c in range(3)), pa.array(rare, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(words, pa.binary()), *(pa.array(rows[:, c]) for c in range(2)), pa.array(rare, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
-def plausible(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The candidates that a second fingerprint and the sizes of the sets allow: far fewer, before any set is moved.
-
-    A similarity of ``least`` needs sizes within that ratio; of pairs that have it, some three in ten thousand are
-    further apart than ``REACH2`` bits in the second fingerprint, of unrelated pairs all but two in a thousand.
-    """
-    own = texts.select("node", "fp2", "n")
-    left, right = own.select(F.col("node").alias("a"), F.col("fp2").alias("p"), F.col("n").alias("m")), own.select(F.col("node").alias("b"), F.col("fp2").alias("q"), F.col("n").alias("o"))
-    both = found.join(left, "a").join(right, "b")
-    near = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= REACH2
-    return both.where(near & (F.least("m", "o") >= F.lit(least) * F.greatest("m", "o"))).select("a", "b")
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many items each pair of some sets shares, by products of slices of their incidence matrix."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    key, column = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, np.int64), return_inverse=True)
+    row, both = np.repeat(np.arange(len(sets)), size), np.zeros((len(sets), len(sets)), dtype=np.float32)
+    more = np.flatnonzero(np.bincount(column, minlength=len(key)) > 1)  # an item of one set is shared by none
+    place = np.full(len(key), -1)
+    place[more] = np.arange(len(more))
+    column = place[column]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, len(more) + 2048, 2048))
+    for k in range(len(cuts) - 1):
+        part = np.zeros((len(sets), 2048), dtype=np.float32)
+        part[row[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - 2048 * k] = 1
+        both += part @ part.T
+    return both
 
 
-def sharing(prints: DataFrame, texts: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """(a, b, dense): the pairs of nodes of ``texts`` that fingerprints can't be trusted to propose, by an exact prefix join.
+def sharing(nodes: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """(a, b, dense): the pairs of ``nodes`` (node, n, rare) that fingerprints don't propose, by an exact prefix join.
 
-    Pairs with a similarity of ``least`` share a shingle in both their prefixes (``prints``: sha, n, rare), and what is left of both
-    from the first such one on is long enough for it; all pairs that meet so come, in cells with many as stars, marked
-    dense. Pairs inside a dense group of ``found`` are left out: they are verified with their group anyway.
+    Pairs with a similarity of ``least`` share a shingle in both their prefixes. Shingles that stand in the prefixes of
+    the same texts bring the same pairs together, so one of them is enough. Of what meets come the pairs that sizes and
+    prefixes allow (see :func:`plausible`), which small cells leave for later; in cells with many such pairs, as among
+    thousands of near copies, the stars of what they connect, marked dense: that is verified as a group. Pairs inside a
+    dense group of ``found`` are left out: they are verified with their group anyway.
     """
     import pyarrow as pa
 
-    def repeated(batches):
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            part = pa.Table.from_batches(parts).combine_chunks()
-            _, back, many = np.unique(part.column("cell").to_numpy(), return_inverse=True, return_counts=True)
-            yield from part.filter(pa.array(many[back] > 1)).to_batches(10_000)
-
-    def compare(batches):
+    cells = nodes.select(F.explode("rare").alias("cell"), "node")
+    half = lambda shift: F.sum(F.shiftrightunsigned(F.xxhash64("node"), shift).bitwiseAND(0x7FFFFFFF))
+    # most shingles are of one text only; counts combine before the shuffle, so a shingle of all texts is nobody's burden
+    many = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("many"), half(0).alias("low"), half(33).alias("high")).where("many > 1")
+    many = written(many.groupBy("many", "low", "high").agg(F.min("cell").alias("cell")).select("cell", "many"), "many")
+    cells = written(cells.join(many, "cell"), "repeated")
+    roots = components(found.where("dense").select("a", "b"), "dense").withColumnRenamed("node", "member")
+    cells = cells.join(roots, F.col("node") == F.col("member"), "left").select("cell", "node", "many", F.coalesce("root", "node").alias("root"))
+    cells = written(cells.join(nodes.select("node", "n"), "node"), "shared")
+
+    def few(batches):
         for part in whole_groups(batches, ["cell", "_i", "_j"]):
-            cell, i, j, block, node, root, size = (part.column(c).to_numpy() for c in ("cell", "_i", "_j", "_block", "node", "root", "size"))
-            n, rest = size >> 32, (size >> 32) - (size & 0xFFFFFFFF)
-
-            def near(x, y, i=i, j=j, block=block, root=root, n=n, rest=rest):
-                ok = (root[x] != root[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
-                ok &= np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - SLACK
-                return ok & (np.minimum(rest[x], rest[y]) >= least / (1 + least) * (n[x] + n[y]) - SLACK)
-
-            spans = np.array(list(runs([cell, i, j])), dtype=np.int64).reshape(-1, 2)
-            a, b, dense = [], [], []
-            for x, y in pairs_of_small(spans, SMALL):
-                ok = near(x, y)
+            cell, node, root, n = (part.column(c).to_numpy() for c in ("cell", "node", "root", "n"))
+            a, b = [], []
+            for x, y in pairs_of_small(np.array(list(runs([cell])), dtype=np.int64).reshape(-1, 2), SMALL):
+                ok = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - SLACK)
                 a.append(node[x[ok]])
                 b.append(node[y[ok]])
-                dense.append(np.zeros(int(ok.sum()), dtype=bool))
-            for start, stop in spans[spans[:, 1] - spans[:, 0] > SMALL]:
-                xs, ys, y = [], [], np.arange(start, stop)
-                for k in range(start, stop, 256):
-                    x = np.arange(k, min(k + 256, stop))
-                    px, py = np.nonzero(near(x[:, None], y[None, :]) & (x[:, None] < y[None, :]))
-                    xs.append(x[px])
-                    ys.append(y[py])
-                x, y, kind = thinned(np.concatenate(xs), np.concatenate(ys), start, stop, node)
+            if a:
+                yield proposals(a, b, [np.zeros(len(x), dtype=bool) for x in a])
+
+    def dense(batches):
+        for part in whole_groups(batches, ["cell", "_i", "_j"]):
+            cell, i, j, block, node, root, n = (part.column(c).to_numpy() for c in ("cell", "_i", "_j", "_block", "node", "root", "n"))
+            sets = part.column("rare").combine_chunks()
+            a, b, kinds = [], [], []
+            for start, stop in runs([cell, i, j]):
+                own = [np.asarray(sets[k].values) for k in range(start, stop)]
+                left = n[start:stop] - np.array([len(s) for s in own])
+                size, other = n[start:stop, None], n[None, start:stop]
+                ok = shared(own) >= least / (1 + least) * (size + other) - SLACK - np.maximum(left[:, None], left[None, :])
+                ok &= (np.minimum(size, other) >= least * np.maximum(size, other) - SLACK) & (root[start:stop, None] != root[None, start:stop])
+                if i[start] != j[start]:
+                    ok &= block[start:stop, None] != block[None, start:stop]
+                x, y = np.nonzero(np.triu(ok, 1))
+                x, y, kind = thinned(start + x, start + y, start, stop, node)
                 a.append(node[x])
                 b.append(node[y])
-                dense.append(np.full(len(x), kind))
+                kinds.append(np.full(len(x), kind))
             if a:
-                yield proposals(a, b, dense)
+                yield proposals(a, b, kinds)
+
+    apart = F.min("root") < F.max("root")
+    small = grouped(cells.where(F.col("many") <= SMALL), "cell", F.xxhash64("node"), few, PROPOSED, apart)
+    large = grouped(cells.where(F.col("many") > SMALL), "cell", F.xxhash64("node"), dense, PROPOSED, apart, block=512, payload=nodes.select("node", "rare"), by="node")
+    return small.union(large)
 
-    cells = prints.select(F.xxhash64("sha").alias("key"), "n", F.posexplode("rare").alias("pos", "cell"))
-    cells = cells.select("cell", "key", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("size"))
-    # one shuffle of narrow rows, of which few stay: most shingles are of one text only
-    cells = written(cells.repartition("cell").mapInArrow(repeated, cells.schema), "repeated")
-    own = texts.select(F.xxhash64("sha").alias("key"), "node").join(components(found.where("dense").select("a", "b"), "dense"), "node", "left")
-    cells = written(cells.join(own.select("key", "node", F.coalesce("root", "node").alias("root")), "key").drop("key"), "shared")
-    return grouped(cells, "cell", F.xxhash64("node"), compare, PROPOSED, F.min("root") < F.max("root"))
+
+def plausible(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs of ``found`` (a, b, dense) but those, of the sparse, whose sizes or prefixes rule a similarity of ``least`` out.
+
+    Up to the end of the prefix that ends first, two sets share what the prefixes share; behind it, at most what is left
+    of that set. So a prefix, a fifth of a set, tells most unlike texts that share a passage before any set is moved.
+    """
+    import pyarrow as pa
+
+    def bounded(batches):
+        for part in arrow_rows(batches, 2048):
+            a, b, n, m, x, y = part.columns
+            n, m = n.to_numpy(), m.to_numpy()
+            own, other = x.value_lengths().to_numpy(), y.value_lengths().to_numpy()
+            ok = np.minimum(n, m) >= least * np.maximum(n, m) - SLACK
+            need = least / (1 + least) * (n + m) - SLACK - np.maximum(n - own, m - other)
+            for k in np.flatnonzero(ok):
+                ok[k] = len(np.intersect1d(np.asarray(x[k].values), np.asarray(y[k].values), assume_unique=True)) >= need[k]
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
+
+    left, right = nodes.select(F.col("node").alias("a"), "n", F.col("rare").alias("x")), nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("rare").alias("y"))
+    pairs = found.where("NOT dense").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
+    return pairs.mapInArrow(bounded, "a long, b long").withColumn("dense", F.lit(False)).union(found.where("dense"))
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> float:
@@ -397,17 +430,9 @@ def similar(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def similarities(sets: list[np.ndarray]) -> np.ndarray:
-    """The Jaccard similarities of all pairs of some sets, by products of slices of their incidence matrix."""
-    size = np.array([len(s) for s in sets])
-    key, column = np.unique(np.concatenate(sets) if len(sets) else np.zeros(0, np.int64), return_inverse=True)
-    row, both = np.repeat(np.arange(len(sets)), size), np.zeros((len(sets), len(sets)), dtype=np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    cuts = np.searchsorted(column, np.arange(0, len(key) + 2048, 2048))
-    for k in range(len(cuts) - 1):
-        part = np.zeros((len(sets), 2048), dtype=np.float32)
-        part[row[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - 2048 * k] = 1
-        both += part @ part.T
+    """The Jaccard similarities of all pairs of some sets."""
+    both, size = shared(sets), np.array([len(s) for s in sets])
+    both[np.diag_indices(len(sets))] = size
     return both / np.maximum(1, size[:, None] + size[None, :] - both)
 
 
@@ -443,34 +468,42 @@ def verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates, with all columns of ``docs``: the one with the smallest id, null ids last.
 
-    Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of ``least`` or more. Fingerprints
-    propose pairs, a prefix join on rare shingles adds all that they miss, sets of the texts proposed decide, exactly.
+    Near-duplicates are texts whose sets of word shingles have a Jaccard similarity of ``least`` or more, and groups what
+    they connect. Fingerprints propose copies with few changes, a prefix join on rare shingles adds all pairs that they
+    miss, and the sets of the texts proposed decide, exactly: what stays depends on the texts alone, neither on the order
+    or partitions of the rows nor on what else shares a cell. Texts of equal words are one. A very long text is one row of
+    8 bytes a word while its set is compared.
     """
     import pyarrow as pa
 
-    narrow = docs.select(F.col(id_col).alias("id"), text_sha(F.col(text_col)).alias("sha"), F.col(text_col).alias("text"))
-    prints = written(sketches(narrow, ["id", "sha"], "text", shingle, least, common_shingles(narrow, "id", "text", shingle)), "prints")
-    first = prints.groupBy("fp", "fp2", "n", "sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
-    first = written(first.select("fp", "fp2", "n", "sha", "first.*").withColumn("node", F.monotonically_increasing_id()), "first")
-    proposed = written(candidates(first), "candidates")
-    pairs = proposed.where("NOT dense").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = written(plausible(pairs, first, least).withColumn("dense", F.lit(False)).union(proposed.where("dense")), "plausible")
-    more = written(sharing(prints, first, found, least), "sharing")
-    found = written(found.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dense")).distinct(), "found")
+    several = not repeated_ids(docs, id_col).isEmpty()
+    sha = text_sha(F.col(text_col)) if several else F.lit("")  # where ids tell the rows, they do
+    narrow = docs.select(F.col(id_col).alias("id"), sha.alias("sha"), F.col(text_col).cast("string").alias("text"))
+    prints = sketches(narrow, ["id", "sha"], "text", shingle, least, common_shingles(narrow, "id", "text", shingle))
+    prints = written(prints.withColumn("node", F.monotonically_increasing_id()), "prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
+    alike = prints.groupBy("words").agg(first, F.count(F.lit(1)).alias("many")).where("many > 1")
+    alike = written(alike.select("words", F.col("first.node").alias("stays")), "alike")
+    gone = written(prints.join(alike, "words").where("node <> stays").select("node"), "gone")
+    nodes = prints.join(gone, "node", "left_anti")
+    proposed = written(candidates(nodes.select("node", "fp")), "candidates")
+    more = written(sharing(nodes.select("node", "n", "rare"), proposed, least), "sharing")
+    found = written(proposed.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dense").distinct(), "found")
+    found = written(plausible(found, nodes, least), "plausible")
     ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-    wanted = first.join(ends, "node").select("node", F.col("id").alias("_id"), F.col("sha").alias("_sha"))
+    wanted = written(prints.select("node", "id", "sha").join(ends, "node").select("node", F.col("id").alias("_id"), F.col("sha").alias("_sha")), "wanted")
 
     def gather(batches):
         for part in arrow_rows(batches, 256):
             sets = [shingles(t.as_py(), shingle) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    texts = narrow.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
-    sets = texts.select("node", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(gather, "node long, set array<long>")
-    if not prints.groupBy("id", "sha").count().where("count > 1").isEmpty():  # rows repeated under one id and text: one set
-        sets = sets.dropDuplicates(["node"])
-    sets = written(sets, "sets")
-    roots = components(verified(found, sets, least), "simhash")
-    rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct("none", "id", "sha")).alias("first"))
-    return only(docs, stays.select("first.id", "first.sha"), id_col, text_col)
+    # as many ids as the documents give, so not for broadcast, however few
+    texts = narrow.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
+    if several:  # rows repeated under one id and text: one text for its node
+        texts = texts.groupBy("node").agg(F.min("text").alias("text"))
+    sets = written(texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(gather, "node long, set array<long>"), "sets")
+    roots = components(written(verified(found, sets, least), "verified"), "simhash")
+    rooted = prints.select("node", "id", "sha").join(gone, "node", "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("first"))
+    return only(docs, written(stays.select("first.id", "first.sha"), "stays"), id_col, text_col)
