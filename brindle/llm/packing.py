@@ -8,7 +8,8 @@ on, at offset o". Documents then find their place by their rank among the pieces
 so a length that a third of all pieces share is not ranked by one task. The packing is the one best-fit decreasing
 gives over all documents at once, not by shard.
 
-Defined results: a null or empty text has the end token alone; pieces of equal length are ordered by id, start and
+Defined results: a null or empty text has the end token alone; a very long text is cut as it is encoded, in one row of 4
+bytes a token; pieces of equal length are ordered by id, start and
 checksum, so ties are broken alike in reruns and repeated rows get places of their own; an empty table gives an
 empty table; columns other than the id and the text are never read.
 """
@@ -131,9 +132,12 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     runs = np.array(best_fit_decreasing(counts, window) or np.zeros((0, 6)), dtype=np.int64)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     plan = docs.sparkSession.sparkContext.broadcast(runs)
-    ranked = salted_rank(pieces, ["length"], [id_col, "start", "ids_crc32"], F.xxhash64(id_col, "start"), "_rank")
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = pieces.columns
+    # pieces alike in all columns are ranked as one with a weight: an id that a third of all rows share is no one task's
+    alike = pieces.groupBy(*names).agg(F.count(F.lit(1)).alias("_many"))
+    ranked = salted_rank(alike, ["length"], [id_col, "start", "ids_crc32", "doc_tokens"], F.xxhash64(id_col, "start", "ids_crc32", "doc_tokens"), "_rank", weight=F.col("_many"))
+    ranked = ranked.withColumn("_rank", F.explode(F.sequence(F.col("_rank"), F.col("_rank") + F.col("_many") - 1)))
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
         table = plan.value
