@@ -43,7 +43,7 @@ class ProductCodes:
             self.codes.append((turn, book / np.linalg.norm(book, axis=2, keepdims=True)))
 
     def decode(self, units: np.ndarray) -> np.ndarray:
-        """The filters of each unit vector, a sorted row each; the width is part of a filter's number."""
+        """The filters of each unit vector, a sorted row each."""
         k, rows, out = self.listed, np.arange(len(units))[:, None], []
         for c, (turn, book) in enumerate(self.codes):
             turned = units @ turn
@@ -52,7 +52,14 @@ class ProductCodes:
             sums = (scores[0][rows, best[0]][:, :, None] + scores[1][rows, best[1]][:, None, :]).reshape(len(units), -1)
             pick = np.argpartition(-sums, k - 1, axis=1)[:, :k]
             out.append((c * self.words + best[0][rows, pick // k]) * self.words + best[1][rows, pick % k])
-        return np.sort(np.concatenate(out, axis=1), axis=1).astype(np.int64) + (self.width << 40)
+        return np.sort(np.concatenate(out, axis=1), axis=1).astype(np.int32)
+
+
+def normed(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision."""
+    raw = raw.astype(np.float64)
+    raw /= np.abs(raw).max(axis=1, keepdims=True)  # no overflow in the norm
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
 def seen_before(mine: np.ndarray, theirs: np.ndarray, cell: np.ndarray) -> np.ndarray:
@@ -81,12 +88,13 @@ def compare(threshold: float):
 
     def one_width(part):
         cell, i, j, block, cid, many = (part.column(c).to_numpy() for c in ("cell", "_i", "_j", "_block", "cid", "many"))
-        units, filters = matrix(part, "unit"), matrix(part, "filters")
+        units, filters = normed(matrix(part, "v")), matrix(part, "filters")
+        filter_ = cell & 0xFFFFFFFF
         spans = np.array(list(runs([cell, i, j])), dtype=np.int64).reshape(-1, 2)
         gained, edges = np.zeros(len(cid), dtype=np.int64), []
 
         def count(x, y):
-            new = ~seen_before(filters[x], filters[y], cell[x])
+            new = ~seen_before(filters[x], filters[y], filter_[x])
             np.add.at(gained, x[new], many[y[new]])
             np.add.at(gained, y[new], many[x[new]])
 
@@ -124,12 +132,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """One row per row of ``vectors``: id, n_links, component_id, kept."""
     import pyarrow as pa
 
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # single precision stays so on its way, which halves what is moved; products are taken in double
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType()) or vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), False)
+    kind = T.FloatType() if single else T.DoubleType()
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(T.ArrayType(kind)).alias("v"))
     good = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(good, F.lit(False)), F.col("v")))
     classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("many", T.LongType()), T.StructField("unit", T.ArrayType(T.DoubleType())), T.StructField("filters", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("many", T.LongType()), T.StructField("v", T.ArrayType(kind)), T.StructField("filters", T.ArrayType(T.IntegerType()))])
+    arrow = pa.float32() if single else pa.float64()
 
     def decode(batches):
         codes: dict[int, ProductCodes] = {}
@@ -140,15 +152,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 widths.setdefault(n, []).append(at)
             for n, at in widths.items():
                 raw = lists.take(pa.array(at)).flatten().to_numpy().reshape(-1, n)
-                raw = raw / np.abs(raw).max(axis=1, keepdims=True)  # no overflow in the norm
-                units = raw / np.linalg.norm(raw, axis=1, keepdims=True)
                 if n not in codes:
                     codes[n] = ProductCodes(n)
-                filters = codes[n].decode(units)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(list(units), pa.list_(pa.float64())), pa.array(list(filters), pa.list_(pa.int64()))], names=schema.names)
+                filters = codes[n].decode(normed(raw))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(list(raw), pa.list_(arrow)), pa.array(list(filters), pa.list_(pa.int32()))], names=schema.names)
 
     decoded = written(classes.select("cid", "many", "v").mapInArrow(decode, schema), "decoded")
-    cells = decoded.select(F.explode("filters").alias("cell"), "cid")
+    cells = decoded.select(F.explode("filters").alias("filter"), F.size("v").cast("long").alias("width"), "cid")
+    cells = cells.select((F.shiftleft("width", 40) + F.col("filter")).alias("cell"), "cid")  # vectors of another width meet elsewhere
     found = written(grouped(cells, "cell", F.xxhash64("cid"), compare(threshold), LINKS, block=BLOCK, payload=decoded, by="cid"), "links")
     roots = components(found.where("b IS NOT NULL").select("a", "b"), "vectors")
     gained = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("gained"))
@@ -157,8 +168,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     known = written(known, "known")
     known = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("v").alias("_v"), "n_links", "component_id")
     each = rows.join(known, rows["v"] == known["_v"], "left")
-    single = F.col("_v").isNull()
-    component = F.when(single, F.col("id")).otherwise(F.col("component_id"))
+    alone = F.col("_v").isNull()
+    component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
     return each.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
