@@ -6,10 +6,10 @@ own n-grams of how far each is from its rank in the profile, a fixed penalty whe
 profile wins. n-grams are exact: three code points of 21 bits are one integer, nothing is hashed.
 
 Profiles are learned from at most about ``per_language`` documents of each language, dealt by a hash of the id (a
-documented bound on labelled rows; rows without an id teach nothing, and at most the 10,000 most common labels are
-learned); predictions read every whole text and nothing else.
+documented bound on labelled rows; rows without an id teach nothing) and of the ``languages`` most common labels (a bound
+too); predictions read every whole text and nothing else.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; ties between languages go to the
+Very long texts are read whole, a part at a time. Defined results: null texts and texts without a letter are ``und`` with score 0; ties between languages go to the
 name first in code point order; repeated rows get the same answer; without any labelled row all is ``und``; an empty
 table gives an empty table; other columns, clashing names among them, are not read.
 """
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from brindle.llm.common import arrow_rows
+from brindle.llm.common import arrow_rows, whole_row
 
 UNDETERMINED = "und"
-#: n-grams a profile keeps, n-grams of a document that are ranked, and labelled documents a language.
-PROFILE, RANKED, PER_LANGUAGE = 400, 300, 4000
+#: n-grams a profile keeps, n-grams of a document that are ranked, labelled documents a language, and languages at most.
+PROFILE, RANKED, PER_LANGUAGE, LANGUAGES = 400, 300, 4000, 10_000
+#: Characters of a text that are taken apart at once.
+PART = 1 << 17
 _FOLD: list[np.ndarray] = []
 
 
@@ -45,21 +47,37 @@ def folded() -> tuple[np.ndarray, np.ndarray]:
     return _FOLD[0], _FOLD[1]
 
 
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """Distinct n-grams of a text and their counts; None without a letter."""
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their counts, from several such."""
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    found, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(back, np.concatenate(counts), minlength=len(found)).astype(np.int64)
+
+
+def grams(text: str | None, part: int = PART) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct n-grams of a text and their counts; None without a letter. Memory is that of ``part`` characters."""
     if not text:
         return None
     fold, letter = folded()
-    raw = np.frombuffer(f" {text} ".encode("utf-32-le"), dtype=np.uint32)
-    if not letter[raw].any():
-        return None
-    a = fold[raw]
-    blank = a == 32
-    a = a[~(blank & np.roll(blank, 1)) | (np.arange(len(a)) == 0)]
-    one, two, three = a << 42, (a[:-1] << 42) | (a[1:] << 21), (a[:-2] << 42) | (a[1:-1] << 21) | a[2:]
-    # a gram within one word and its two blanks: no blank inside, no lone blank, no gram of a blank and nothing else
-    keep = [one[a != 32], two[(a[:-1] != 32) | (a[1:] != 32)], three[a[1:-1] != 32]]
-    return np.unique(np.concatenate(keep), return_counts=True)
+    seen, keys, counts = False, [], []
+    last = np.array([32])  # the folded characters that the next n-grams may begin with: two at most
+    for at in range(0, len(text), part):
+        raw = np.frombuffer(text[at : at + part].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        seen = seen or bool(letter[raw].any())
+        own = fold[raw]
+        a = np.concatenate([last, own, [32]] if at + part >= len(text) else [last, own])
+        blank = a == 32
+        fresh = np.arange(len(a)) >= len(last)
+        stays = ~(blank & np.roll(blank, 1)) | ~fresh
+        a, fresh = a[stays], fresh[stays]
+        one, two, three = a << 42, (a[:-1] << 42) | (a[1:] << 21), (a[:-2] << 42) | (a[1:-1] << 21) | a[2:]
+        # a gram within one word and its two blanks: no blank inside, no lone blank; counted where its end is new
+        keep = [one[(a != 32) & fresh], two[fresh[1:]], three[(a[1:-1] != 32) & fresh[2:]]]
+        k, c = np.unique(np.concatenate(keep), return_counts=True)
+        keys, counts = ([k], [c]) if not keys else [[x] for x in summed([*keys, k], [*counts, c])]
+        last = a[-2:]
+    return (keys[0], counts[0]) if seen else None
 
 
 def ranked(text: str | None, most: int) -> np.ndarray | None:
@@ -98,7 +116,7 @@ class Profiles:
         return self.names[best], float(1 - away[best] / (PROFILE * len(own)))
 
 
-def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Profiles:
+def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Profiles:
     """Profiles from the labelled rows for which ``learnable`` holds.
 
     Counts by language come first; each language then gives its rows whose id hashes below per_language / count, about
@@ -109,7 +127,7 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
 
     labelled = docs.where(learnable & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = labelled.groupBy(F.col(lang_col).alias("lang")).count()
-    share = F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(10_000).select(F.col("lang").alias("_l"), (F.lit(float(per_language)) / F.col("count")).alias("_share")))
+    share = F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(languages).select(F.col("lang").alias("_l"), (F.lit(float(per_language)) / F.col("count")).alias("_share")))
     # 53 bits of the hash as a fraction in [0, 1)
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 11) / F.lit(float(1 << 53))
     picked = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), draw.alias("_draw")).join(share, F.col("lang") == F.col("_l")).where("_draw < _share").select("lang", "text")
@@ -131,20 +149,28 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
     return Profiles([(r["lang"], r["gram"], r["rank"]) for r in rows])
 
 
-def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The columns ``keep`` of every row of ``docs`` with the language of its whole text and a score from 0 to 1.
+def labelled(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """(row, lang, score): every row of ``docs``, or its columns ``keep``, as a struct, with the language of its whole text
+    and a score from 0 to 1.
 
-    The score is 1 less the distance as a share of the greatest possible one.
+    The score is 1 less the distance as a share of the greatest possible one. The profiles go to all executors: PROFILE
+    numbers a language.
     """
     import pyarrow as pa
 
     shipped = docs.sparkSession.sparkContext.broadcast(profiles)
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    rows = docs.select(whole_row(docs if keep is None else docs.select(*keep)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         predict = shipped.value.predict
         for part in arrow_rows(batches):
-            found = [predict(t.as_py()) for t in part.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
+            found = [predict(t.as_py()) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` with the language of its whole text and its score, see :func:`labelled`."""
+    return labelled(docs, profiles, keep, text_col).select("row.*", F.col("lang").alias(lang), F.col("score").alias(score))
