@@ -2,6 +2,9 @@
 
 import functools
 import hashlib
+import html
+import html.parser
+import math
 import re
 import struct
 import zlib
@@ -12,6 +15,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from brindle.llm import capfilters, common, exact, links, mixing, packing, pages, simhash
@@ -249,13 +253,31 @@ def test_prefix_join_alone_misses_nothing(spark, monkeypatch, block):
     assert kept == {rows[r][0] for r in set(roots_of(len(rows), edges))}
 
 
+def test_survivors_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(23)
+    rows = near_the_threshold(rng, 40)
+    hot = [f"h{i}" for i in range(100)]
+    for c in range(120):  # a dense group, some of it far apart
+        text = list(hot)
+        for p in rng.choice(100, 1 + c % 3, replace=False):
+            text[p] = f"hot{c}x{p}"
+        rows.append((1000 + c, " ".join(text), "s"))
+    line = " ".join(f"c{i}" for i in range(30))
+    rows += [(3000 + i, " ".join([line, *[f"o{i}w{k}" for k in range(40)]]), "s") for i in range(80)]
+    sets = [word_set(t) for _, t, _ in rows]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {rows[r][0] for r in set(roots_of(len(rows), edges))}
+    for n in (1, 8, 40):
+        assert {r["doc_id"] for r in simhash.one_of_each(docs(spark, rows).repartition(n)).collect()} == want
+
+
 def test_repeats_do_not_move_sketches(spark):
     words = [f"w{i}" for i in range(200)]
     line = " ".join(f"r{i}" for i in range(12))
     rows = [(k, " ".join([*words, *[line] * k]), "s") for k in (2, 5, 20, 60)]  # from two on, the sets of shingles are equal
     assert len({frozenset(word_set(t)) for _, t, _ in rows}) == 1
     sketches = simhash.sketches(docs(spark, rows), ["doc_id"], "text", 5).collect()
-    assert len({(r["fp"], r["fp2"], r["n"]) for r in sketches}) == 1
+    assert len({(r["fp"], r["n"]) for r in sketches}) == 1
     assert [r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()] == [2]
 
 
@@ -313,11 +335,80 @@ def test_vector_query_recall(spark, sf_dir):
 # mixing
 
 
-def test_targets():
-    assert mixing.targets([("a", 100), ("b", 100), ("c", 100)]) == {"a": 200.0, "b": pytest.approx(500 / 3), "c": pytest.approx(250 / 3)}
-    got = mixing.targets([(None, 50), ("z", 10), ("a", 1000)])
-    assert list(sorted(got, key=lambda s: (s is None, s or ""))) == ["a", "z", None] and sum(got.values()) == pytest.approx(1.5 * 1060)
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0.0}
+def plain_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weigh = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, total, found = dict(sizes), 1.5 * sum(sizes.values()), {}
+    while left:
+        share = total / sum(weigh[s] for s in left)
+        above = [s for s in left if share * weigh[s] > 2 * left[s]]
+        if not above:
+            return found | {s: share * weigh[s] for s in left}
+        for s in above:
+            found[s] = 2.0 * left.pop(s)
+            total -= found[s]
+    return found
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {None: 50, "z": 10, "a": 1000}, {}, {"a": 0}, {"é": 5, "z": 1, "Z": 9, "": 4, None: 0}, {f"s{i}": i * i % 97 for i in range(300)}])
+def test_targets(spark, sizes):
+    rows = mixing.targets(spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, words long")).collect()
+    assert {r["source"]: pytest.approx(r["target"]) for r in rows} == plain_targets(sizes)
+
+
+def plain_rate(sizes, goal):
+    """The rates of a source's documents by bisection."""
+    unit, low, high = max(1.0, sum(sizes) / len(sizes)), -1e4, 1e4
+    of = lambda lam, z: 2 / (1 + math.exp(-max(-700, min(700, lam * z / unit))))
+    for _ in range(200):
+        lam = (low + high) / 2
+        low, high = (lam, high) if sum(z * of(lam, z) for z in sizes) < goal else (low, lam)
+    return {z: of(low, z) if z else 0.0 for z in sizes}
+
+
+def test_mix_against_bisection(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(0, 60)), ["a", "b", "c", "d", None][int(rng.integers(5) ** 2 // 5)]) for i in range(500)]
+    by = defaultdict(list)
+    for _, t, s in rows:
+        by[s].append(len(t.split()))
+    goal = plain_targets({s: sum(z) for s, z in by.items()})
+    got = defaultdict(list)
+    for r in mixing.mix(docs(spark, rows)).collect():
+        got[r["source"]].append(r)
+    for s, sizes in by.items():
+        assert got[s][0]["target"] == pytest.approx(goal[s])
+        rates = plain_rate(sizes, goal[s]) if goal[s] < 2 * sum(sizes) * (1 - 1e-9) else {z: 2.0 if z else 0.0 for z in sizes}
+        assert all(r["rate"] == pytest.approx(rates[r["size"]], abs=1e-4) for r in got[s])
+        assert abs(sum(r["copies"] * r["size"] for r in got[s]) - goal[s]) <= 1.5 * max(sizes)
+        so_far = 0.0  # systematic rounding: a size's documents gain what the running sum gains
+        for z in sorted(set(sizes), reverse=True):
+            mine = [r for r in got[s] if r["size"] == z]
+            before, so_far = so_far, so_far + len(mine) * mine[0]["rate"]
+            assert abs(sum(r["copies"] for r in mine) - (so_far - before)) <= 1.001 and {r["copies"] for r in mine} <= {0, 1, 2}
+
+
+def test_rows_that_share_an_id_are_split(spark):
+    rows = [(None, "x y", "a")] * 300 + [(7, f"t{i % 5}", "a") for i in range(300)] + [(i, "p q r", "b") for i in range(100, 160)]
+    d = docs(spark, rows)
+    got = mixing.mix(d).collect()
+    assert len(got) == len(rows) and Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t.split())) for i, t, _ in rows)
+    want = Counter()
+    for r in got:
+        want[(r["doc_id"], r["source"], r["size"])] += r["copies"]
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in mixing.mixed(d).collect()) == +want
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_own", "_size", "_i", "_s", "_z", "_copies", "_stays", "_first", "row", "id", "own", "hash", "sha", "copies", "size", "node", "a b", "x.y", "many", "rank"]
+    rows = [(i, f"some words here {i % 4}", "en", "s", *[f"{n}{i}" for n in names]) for i in range(8)]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("text", "lang", "source", *names))])
+    for twice in (rows, rows + rows[:2] + [(1, "other words", *rows[1][2:])]):
+        d = spark.createDataFrame(twice, schema)
+        given = {tuple(r) for r in d.collect()}
+        for out in (exact.first_copies(d), simhash.one_of_each(d), mixing.mixed(d)):
+            assert out.columns == d.columns and {tuple(r) for r in out.collect()} <= given
+        assert {r["doc_id"] for r in exact.first_copies(d).collect()} >= {0, 1, 2, 3}
 
 
 def test_mix_query(spark, sf_dir):
@@ -327,7 +418,7 @@ def test_mix_query(spark, sf_dir):
     for r in rows:
         assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) and r["taken"] <= 2 * r["size"] and r["taken"] % max(1, r["size"]) == 0
         by[r["source"]].append(r)
-    goal = mixing.targets([(s, sum(r["size"] for r in v)) for s, v in by.items()])
+    goal = plain_targets({s: sum(r["size"] for r in v) for s, v in by.items()})
     for s, v in by.items():
         assert v[0]["target"] == pytest.approx(goal[s]) and v[0]["source_size"] == sum(r["size"] for r in v)
         assert abs(sum(r["taken"] for r in v) - goal[s]) <= 1.5 * max(r["size"] for r in v)
@@ -423,38 +514,138 @@ PAGE = "<html><head><title>T</title><script>var a='<p>no</p>';</script><style>p{
 
 def test_main_blocks():
     one = "<nav><a>m</a></nav><header>site</header><article><header><h1>Title &amp; more</h1></header><p>One <b>bo</b>ld<br>two<p>three&nbsp;x<ul><li>i<li>j</ul><aside>side</aside><form>f<input></form><section class='comments'><p>me!</p></section><div class='article-comments'>me too</div></article><footer>f</footer>"
-    assert pages.main_blocks(one) == ["Title & more", "One bold", "two", "three x", "i", "j"]
+    assert pages.main_blocks(one.replace("article-comments", "reader-comments")) == ["Title & more", "One bold", "two", "three x", "i", "j"]
     assert pages.main_blocks("<div class='cookie-notice'>c</div><div><a>l1</a> <a>l2</a></div><p>text <a>link</a> more words") == ["text link more words"]
-    inner = "<div class='site-header'>site</div><main><div class='article-header'><h1>T</h1></div><p data-x='is hidden id=ad'>a</p><p hidden>b</p><div style='display: none'>c</div><div class='cookieBanner'>d</div></main>"
-    assert pages.main_blocks(inner) == ["T", "a"]
+    inner = "<div class='site-header'>site</div><main><div class='header-box'><h1>T</h1></div><p data-x='is hidden id=ad'>a</p><p hidden>b</p><div style='display: none'>c</div><div class='cookieBanner'>d</div></main>"
+    assert pages.main_blocks(inner) == ["T", "a", "b", "c"]  # hidden text is not among what goes
+    named = "<article><h2 id='social-history'>a</h2><p class='ad-hoc'>b</p><section class='related-work'>c</section><div class='legal-history'>d</div><div id='share-buttons'>e</div></article>"
+    assert pages.main_blocks(named) == ["a", "b", "c", "d"]
+    cards = "<div>" + "The body is in a plain element, and long. " * 9 + "</div>" + "<article><a>teaser</a></article>" * 3
+    assert pages.main_blocks(cards)[0].startswith("The body")
     for broken in (None, "", "<", "<p", "<p>a<", "<!-- open <p>x", "<script>never closed", "</p></div>", "<p title='>x</p>", "<div " * 3, "&#x41;&bogus;"):
         assert isinstance(pages.main_blocks(broken), list)
     assert pages.main_blocks("<div>" * 20_000 + "deep") == ["deep"]
+    assert len(" ".join(pages.main_blocks("<article>" + "<p>word word</p>" * 200_000 + "</article>"))) == 200_000 * 10 - 1
 
 
 def test_template_text_goes_and_shared_passages_stay(spark):
     rows = []
     for host, article in (("a.org", False), ("b.org", True)):
         for i in range(12):
-            main = f"<p>Own words of page {i} at {host}, quite a few of them.</p>" + ("<p>A passage that all articles share.</p>" if article or i % 3 else "")
+            main = f"<h1>Page {i}</h1><p>Own words of page {i} at {host}, quite a few of them.</p>" + ("<p>A passage that all articles share.</p>" if article or i % 3 else "") + "<div class='blurb'>Printed by us</div>"
             main = f"<article>{main}</article>" if article else main
             rows.append((i, f"https://{host}/p/{i}", PAGE.format(menu="<ul class='nav'><li><a>x</a></ul>", main=main, host=host), "clash"))
     rows += [(99, None, "<p>no url</p>", "clash"), (None, "https://a.org/z", None, "clash"), (98, "https://one.org/", "<p>only page</p>", "clash"), (98, "https://one.org/", "<p>only page</p>", "clash")]
+    rows += [(k, "https://a.org/p/1", rows[1][2], "clash") for k in (50, 50)]  # repeated rows within a host
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = pages.extract(df).collect()
+    assert len(got) == len(rows)
     for r in got:
-        assert r["n_chars"] == len(r["text"]) and "Buy" not in r["text"]
+        assert r["n_chars"] == len(r["text"]) and "Buy" not in r["text"] and "Printed" not in r["text"]  # the blurb has no mark but the template's
         if r["url"] and r["url"].startswith("https://b.org"):
-            assert r["text"].endswith("them. A passage that all articles share.")
+            assert r["text"].startswith("Page") and r["text"].endswith("them. A passage that all articles share.")
         if r["url"] and r["url"].startswith("https://a.org/p"):
-            assert r["text"].startswith("Own words") and "All rights" not in r["text"] and ("share." in r["text"]) == (r["page_id"] % 3 > 0)
+            n = 1 if r["page_id"] == 50 else r["page_id"]
+            assert r["text"].startswith(f"Page {n} Own words") and "All rights" not in r["text"] and ("share." in r["text"]) == (n % 3 > 0)
     assert Counter(r["text"] for r in got if r["page_id"] in (98, 99, None)) == Counter({"only page": 2, "no url": 1, "": 1})
     assert pages.extract(df.where("false")).count() == 0
 
 
-def test_pages_query(spark, sf_dir):
-    import html
+class Tree(html.parser.HTMLParser):
+    """Elements, each a path, and texts of a well-formed page whose elements but <a> are blocks."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.paths, self.texts, self.stack, self.link = [], [], [()], False
+        self.feed(source)
 
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = True
+        else:
+            self.stack.append((*self.stack[-1], (tag, dict(attrs).get("class"))))
+            self.paths.append(self.stack[-1])
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = False
+        else:
+            self.stack.pop()
+
+    def handle_data(self, data):
+        self.texts.append((self.stack[-1], data, self.link))
+
+
+def plain_template_deduction(sources):
+    """The main texts of one host's pages: whole vectors, classes by comparing them, the main slot by going through all."""
+    trees = [Tree(s) for s in sources]
+    tokens = defaultdict(lambda: [0] * len(trees))
+    for k, t in enumerate(trees):
+        for p in t.paths:
+            tokens[p][k] += 1
+        for p, x, _ in t.texts:
+            tokens[(p, x)][k] += 1
+    is_text = lambda t: isinstance(t[-1], str)
+    support = lambda t: sum(n > 0 for n in tokens[t])
+    kept = {t for t in tokens if support(t) >= max(3, 0.3 * len(trees))}
+    valid = {t for t in kept if not is_text(t) and all(t[:n] in kept for n in range(1, len(t)))}
+    own = {t for t in kept if is_text(t) and t[0] in valid and support(t) >= 10 and tokens[t] == tokens[t[0]]}
+    slots = []
+    for e in valid:
+        if max(tokens[e]) == 1:
+            on = [t for t in trees if e in t.paths]
+            here = sum(len(x) for t in on for p, x, link in t.texts if p[: len(e)] == e and (p, x) not in own and not link)
+            whole = sum(len(x) for t in on for p, x, link in t.texts if (p, x) not in own and not link)
+            if here and here >= 0.5 * whole:
+                slots.append(e)
+    out = []
+    for t in trees:
+        e = max((e for e in slots if e in t.paths), key=len)
+        inside = [(p, x, link) for p, x, link in t.texts if p[: len(e)] == e and (p, x) not in own]
+        chars = Counter()
+        for p, x, link in inside:
+            chars[p, link] += len(x)
+        out.append(" ".join(x for p, x, _ in inside if chars[p, True] < 0.5 * (chars[p, True] + chars[p, False])))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pages_without_marks_against_plain_deduction(spark, seed):
+    rng = np.random.default_rng(seed)
+    words = lambda least, most: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(int(rng.integers(least, most))))
+    rows = []
+    for h in range(3):
+        for i in range(int(rng.integers(12, 40))):
+            links = "".join(f"<div class='q3'><a>{words(1, 3)}</a></div>" for _ in range(int(rng.integers(2, 7))))
+            paragraphs = "".join(f"<p>{words(5, 40)}</p>" for _ in range(int(rng.integers(2, 9))))
+            main = f"<div class='q5'><div class='q6'>{words(3, 8)}</div>{paragraphs}<div class='q8'>Printed at host {h}</div><div class='q9'>{links}</div></div>"
+            if rng.random() < 0.4:  # a second layout
+                main = f"<div class='z5'><div class='z6'>{words(3, 8)}</div><div class='z7'>{paragraphs}{paragraphs}</div></div>"
+            page = f"<html><body><div class='q1'>Host {h}</div><div class='q2'>{links}</div><div class='q4'>{words(1, 9)}</div>{main}<div class='q7'><p>Fixed foot of {h}</p><p>{words(1, 6)}</p></div></body></html>"
+            rows.append((len(rows), f"https://h{h}.org/{i}", page))
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    changed = 0
+    for h in range(3):
+        mine = [r for r in rows if f"//h{h}." in r[1]]
+        for (i, _, source), want in zip(mine, plain_template_deduction([r[2] for r in mine]), strict=True):
+            assert got[i] == want != ""
+            changed += " ".join(pages.main_blocks(source)) != got[i]
+    assert changed > 0.9 * len(rows)  # marks alone say something else
+
+
+def test_unmarked_pages_of_the_table(spark, sf_dir):
+    """The table's pages with names and classes that say nothing: the template alone finds the same texts."""
+    names = {"article": "q5", "nav": "q1", "footer": "q7", "h1": "q6", "ul": "q2", "li": "q3"}
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    plain = [(r["page_id"], r["url"], re.sub(r"<(/?)(article|nav|footer|h1|ul|li)\b[^>]*>", lambda m: "</div>" if m[1] else f'<div class="{names[m[2]]}">', r["html"].replace('<div class="ad">', '<div class="q4">'))) for r in rows]
+    want = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows)).collect()}
+    sizes = Counter(re.sub(r".*://([^/:?#]+).*", r"\1", r["url"]).lower() for r in rows)
+    got = pages.extract(spark.createDataFrame(plain, "page_id long, url string, html string")).collect()
+    enough = [r for r in got if sizes[re.sub(r".*://([^/:?#]+).*", r"\1", r["url"]).lower()] >= pages.LEAST]
+    assert len(enough) > 0.85 * len(rows) and all(r["text"] == want[r["page_id"]] for r in enough)
+
+
+def test_pages_query(spark, sf_dir):
     rows = QUERIES["op8_html"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in rows:
         body = re.search(r"<article>(.*?)</article>", r["html"], re.DOTALL)[1]
