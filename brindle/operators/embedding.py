@@ -67,7 +67,8 @@ def greedy_files(df: DataFrame, group: str, key: str, size: str, most: int) -> D
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(files, pa.int64())], names=schema.names)
 
     rows = df.select(group, key, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_z"))
-    return rows.repartition(group).sortWithinPartitions(group, key).mapInArrow(run, schema)
+    # by a hash of the group: by the group itself a join before may have dealt them already, and split large ones
+    return rows.repartition(F.xxhash64(group)).sortWithinPartitions(group, key).mapInArrow(run, schema)
 
 
 def sequence_slice(rows: DataFrame, position: str, start: int, length: int) -> DataFrame:
