@@ -1,8 +1,9 @@
 """Personal data: patterns propose, checksums confirm, context words adjust.
 
 Base kinds are email, ip, card and phone: the leftmost, non-overlapping matches of a kind's pattern, those that fail
-its test dropped without retries. The method adds kinds that need more than a pattern: ``iban`` (mod-97) and ``ssn``
-(number rules, and a context word nearby). Every span carries a score: the kind's prior, raised by a passed checksum
+its test dropped without retries. The method adds kinds that need more than a pattern: ``iban`` (mod-97), ``ssn`` (number
+rules, and a context word nearby) and ``secret`` (a long run of letters and digits of many kinds, and a context word
+nearby: access tokens, keys, passwords). Every span carries a score: the kind's prior, raised by a passed checksum
 and by each context word within ``REACH`` code points before it. Added kinds stay where their score reaches
 ``LEAST``; base spans always stay.
 
@@ -24,9 +25,9 @@ from pyspark.sql import types as T
 
 from brindle.llm.common import arrow_rows
 
-BASE, ADDED = ("email", "ip", "card", "phone"), ("iban", "ssn")
+BASE, ADDED = ("email", "ip", "card", "phone"), ("iban", "ssn", "secret")
 #: The prior score of a kind, what a passed checksum and a context word add, and the least score of an added span.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.5, "iban": 0.4, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.5, "iban": 0.4, "ssn": 0.3, "secret": 0.3}
 CHECKED, NEARBY, LEAST, REACH = 0.3, 0.25, 0.5, 48
 CONTEXT = {
     "email": ("mail", "contact", "kontakt", "correo"),
@@ -35,6 +36,7 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "telefon", "teléfono", "téléphone"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social security", "social"),
+    "secret": ("token", "secret", "key", "api_key", "apikey", "access_key", "password", "passwd", "passwort", "bearer", "contraseña"),
 }
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,6 +45,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])")
+#: A secret has so many different characters at least, letters and digits among them.
+KINDS_OF = 10
 DIGITS = re.compile("[0-9]")
 
 
@@ -88,6 +93,12 @@ def base_spans(text: str) -> list[tuple[str, int, int, bool]]:
     return found
 
 
+def mixed(run: str) -> bool:
+    """Whether letters and digits change places in a run as they do by chance, rather than a word, a path or a number."""
+    kinds = set(run)
+    return len(kinds) >= KINDS_OF and any(c.isdigit() for c in kinds) and any(c.isalpha() for c in kinds) and len(re.findall(r"[0-9]+", run)) >= 3
+
+
 def added_spans(text: str) -> list[tuple[str, int, int, bool]]:
     if not DIGITS.search(text):
         return []
@@ -100,7 +111,8 @@ def added_spans(text: str) -> list[tuple[str, int, int, bool]]:
             if 15 <= len(body) <= 34 and mod97(body):
                 found.append(("iban", m.start(), m.start() + end, True))
                 break
-    return found + [("ssn", *m.span(), False) for m in SSN.finditer(text)]
+    found += [("ssn", *m.span(), False) for m in SSN.finditer(text)]
+    return found + [("secret", *m.span(), False) for m in SECRET.finditer(text) if mixed(m[0])]
 
 
 def scored(text: str, kind: str, start: int, checked: bool) -> float:
@@ -159,8 +171,8 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the checksum of their spans, and all spans as text."""
+    """Counts of the base kinds, the checksum of their spans, and all spans as text and counted."""
     told = lambda kinds: F.array_join(F.transform(F.filter("found", lambda s: s["kind"].isin(*kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [of(kind) for kind in BASE]
-    return found.select(id_col, *counts, F.sha2(told(BASE).cast("binary"), 256).alias("base_sha256"), told(BASE + ADDED).alias("spans"))
+    return found.select(id_col, *counts, F.sha2(told(BASE).cast("binary"), 256).alias("base_sha256"), told(BASE + ADDED).alias("spans"), F.size("found").cast("long").alias("n_spans"))

@@ -225,13 +225,15 @@ def test_added_spans():
     kinds = [(k, text[s:e]) for k, s, e, _ in pii.spans(text) if k in pii.ADDED]
     assert kinds[0] == ("iban", "DE89 3704 0044 0532 0130 00") and ("ssn", "123-45-6789") in kinds and len([k for k in kinds if k[0] == "iban"]) == 1
     assert [k for k, *_ in pii.spans("code 123-45-6789") if k == "ssn"] == []
+    assert [text[s:e] for text in ('api token = "a9B8c7D6e5F4g3H2i1J0k"',) for k, s, e, _ in pii.spans(text) if k == "secret"] == ["a9B8c7D6e5F4g3H2i1J0k"]
+    assert [x for t in ("a9B8c7D6e5F4g3H2i1J0k", "token = abcdefghijklmnopqrstuvwxyz", "key 12345678901234567890123", "key aaaaaaaaaaaaaaaaaaaaaaaa1a1a1") for x in pii.spans(t) if x[0] == "secret"] == []
     assert pii.spans(None) == pii.spans("") == []
     near, far = pii.spans("my card 4111111111111111")[0][3], pii.spans("4111111111111111")[0][3]
     assert near > far
 
 
 def test_long_texts_are_linear():
-    for text in ("1" * 300_000, "a." * 150_000, "@" * 100_000, "+1 " * 50_000, "A" * 300_000, "1." * 150_000):
+    for text in ("1" * 300_000, "a." * 150_000, "@" * 100_000, "+1 " * 50_000, "A" * 300_000, "1." * 150_000, "a1" * 150_000, "key " + "a1b2" * 20_000 + "=" * 50_000):
         pii.spans(text)
 
 
