@@ -16,7 +16,7 @@ from brindle.meta import Checkpoint, DatasetMeta, Tokens, base_id, checkpoints,
 from brindle.operators.contracts import require
 from brindle.plans import stages as S
 from brindle.sources.datasets import corpus_slice
-from brindle.sources.storage import complete, read_dataset, read_meta, write_dataset
+from brindle.sources.storage import Files, complete, read_dataset, read_meta, write_dataset
 
 STAGES = ("extract", "split", "explain", "build", "shuffle")
 
@@ -34,6 +34,13 @@ class Preset:
         return 2 * self.layers // 3
 
 
+def presets_from(spark: SparkSession, path: str) -> dict[str, Preset]:
+    """Presets from a JSON file: name to layers, width and whatever else they set."""
+    found = json.loads(Files(spark).read(path))
+    require(isinstance(found, dict), f"{path} holds no presets")
+    return {name: Preset(p["layers"], p["width"], {"width": p["width"], **{k: v for k, v in p.items() if k not in ("layers", "width")}}) for name, p in found.items()}
+
+
 def overridden(config: dict, changes: list[str]) -> dict:
     """``a.b=value`` with JSON values; a bare word is a string."""
     config = copy.deepcopy(config)
@@ -201,6 +208,12 @@ def load_samples(spark: SparkSession, path: str, marker: str) -> DataFrame:
     return samples(table, meta.depths, marker)
 
 
+def variant_of(df: DataFrame) -> str:
+    """What a training table is by its columns: one with responses the actor's, one whose prompt is a text the critic's."""
+    require("prompt" in df.columns, f"no training table: {df.columns}")
+    return "av_sft" if "response" in df.columns else "ar_sft" if dict(df.dtypes)["prompt"] == "string" else "rl"
+
+
 def samples(df: DataFrame, depths: list[int], marker: str, sites: int | None = None) -> DataFrame:
     """The loader's view of a training table: the bundle as one array, the marker in place of its placeholder; a response
     comes along where the table has one, as the actor's have.

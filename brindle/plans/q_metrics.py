@@ -151,3 +151,10 @@ def block_scales(spark, d):
     """Scales of tiles of 24 x 24: the edge tiles are padded."""
     out = metrics.block_scales(vectors(spark, d), "vec_id", "embedding", 24)
     return out.select("tile_row", F.col("tile_column").cast("long").alias("tile_column"), F.round("scale", 12).alias("scale"))
+
+
+@query("SELECT DISTINCT p_size::BIGINT AS width, round(sqrt(p_size), 12) AS scale FROM part")
+def target_scales(spark, d):
+    """The norm that a setting asks for, by width: here the root of it."""
+    sizes = [r[0] for r in table(spark, d, "part").select(F.col("p_size").cast("long")).distinct().collect()]
+    return spark.createDataFrame([(n, round(V.target_scale("sqrt_d_model", n), 12)) for n in sizes], "width long, scale double")

@@ -110,13 +110,15 @@ def match_rate(spark, d):
     return joins.match_rate(rows, prior(rows), ["doc_id", "n_raw_tokens"])
 
 
-@query(f"WITH {WITH_BASE}, {PRIOR} SELECT sha256('<explanation>' || chr(10) || explanation || chr(10) || '</explanation>') AS key, explanation FROM prior")
+@query(f"WITH {WITH_BASE}, {PRIOR} SELECT doc_id || ' ' || n_raw_tokens AS detokenized_text_truncated, explanation AS api_explanation FROM prior")
 def recover_cache(spark, d):
-    """Explanations recovered from a training table by inverting the wrapping."""
-    rows = kept_base(spark, d)
-    last = joins.last_wins(prior(rows), ["doc_id", "n_raw_tokens"], "ordinal", "explanation")
-    response = last.select(X.wrapped(F.col("explanation")).alias("response"))
-    return response.select(X.sha256(F.col("response")).alias("key"), X.payload(F.col("response")).alias("explanation"))
+    """A cache recovered from the critic's and the actor's training rows, half each, by inverting template and tags."""
+    from brindle.plans.stages import recover
+
+    last = joins.last_wins(prior(kept_base(spark, d)), ["doc_id", "n_raw_tokens"], "ordinal", "explanation")
+    rows = last.select(F.concat_ws(" ", "doc_id", "n_raw_tokens").alias("detokenized_text_truncated"), "n_raw_tokens", X.wrapped(F.col("explanation")).alias("response"), CRITIC.fill(F.col("explanation")).alias("prompt"))
+    half = F.pmod("n_raw_tokens", F.lit(2)) == 0
+    return recover(rows.where(half)).union(recover(rows.where(~half), template=CRITIC))
 
 
 TRAIN = f"WITH {WITH_BASE}, {PRIOR}"
@@ -199,3 +201,96 @@ def ordered_distinct(spark, d):
 
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), "doc_id", X.sha256(F.col("text")).alias("text_sha256"))
     return first_by_key(rows, ["text_sha256"], "ordinal").select("doc_id", "text_sha256")
+
+
+TRAINED = f"{TRAIN} SELECT doc_id, n_raw_tokens, 'user: Describe what this vector holds: <concept>㊗</concept>' AS prompt, [embedding] AS bundle FROM base JOIN prior USING (doc_id, n_raw_tokens) JOIN embeddings ON vec_id = v24"
+
+
+@query(TRAINED)
+def samples_view(spark, d):
+    """The loader's view of a training table: the marker in place, the bundle as one array."""
+    from brindle.plans.pipeline import samples
+    from brindle.plans.stages import build_training
+
+    table_ = build_training(training_rows(spark, d), "rl", actor=ACTOR, depth=24)
+    return told(samples(table_, [24], "㊗")).select("doc_id", "n_raw_tokens", "prompt", "bundle")
+
+
+@query("SELECT * FROM (VALUES ('av_sft', 'av_sft', 8), ('ar_sft', 'ar_sft', 7), ('rl', 'rl', 7), ('rl joint', 'rl', 4)) v(made, variant, n_columns)")
+def table_variants(spark, d):
+    """Training tables tell what they are by their columns."""
+    from brindle.plans.pipeline import variant_of
+    from brindle.plans.stages import build_training
+
+    rows = training_rows(spark, d)
+    made = {"av_sft": build_training(rows, "av_sft", depth=24), "ar_sft": build_training(rows, "ar_sft", critic=CRITIC, depth=24), "rl": build_training(rows, "rl", depth=24), "rl joint": build_training(rows, "rl", joint=[24])}
+    return spark.createDataFrame([(k, variant_of(t), len(t.columns)) for k, t in made.items()], "made string, variant string, n_columns int")
+
+
+ECHO = r"regexp_replace('Starts: ' || array_to_string(t[1:8], ' '), '[\s*_]+$', '') || chr(10) || chr(10) || regexp_replace('Ends: ' || array_to_string(list_reverse(t)[1:8], ' '), '[\s*_]+$', '')"
+
+
+@query(rf"""WITH {CACHES}, t AS (SELECT doc_id, text, regexp_split_to_array(text, '\s+') AS t FROM documents)
+SELECT doc_id, coalesce(ca.explanation || chr(10) || chr(10) || 'cached', {ECHO}) AS api_explanation FROM t LEFT JOIN ca ON sha256(text) = key""")
+def explain_stage(spark, d):
+    """The explain stage: caches first, the provider for the rest in chunks that are kept, cleaned, too short ones dropped."""
+    from brindle.plans.stages import explain
+    from brindle.plugins import EchoProvider
+    from brindle.sources.shared import shared_folder
+
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("detokenized_text_truncated"))
+    keyed = table(spark, d, "documents").select("doc_id", "source", F.col("text").alias("detokenized_text_truncated"), F.col("doc_id").alias("row"))
+    said = lambda word: F.concat(F.lit(f"{word} "), F.col("doc_id").cast("string"), F.lit("\n\ncached")).alias("api_explanation")
+    known = [keyed.where(F.col("source").isin(*which)).select("row", "detokenized_text_truncated", said(word)) for word, which in (("first", ("src0", "src1")), ("second", ("src1", "src2")))]
+    return explain(rows, EchoProvider(), known, chunks=2, folder=f"{shared_folder(spark)}/explain_stage").select("doc_id", "api_explanation")
+
+
+@query("SELECT doc_id, sha256(text || '!') AS answer FROM documents")
+def provider_answers(spark, d):
+    """A plain function's answers, batch by batch, each with its row."""
+    import hashlib
+
+    from brindle.plugins import CallableProvider
+
+    def answer(texts):
+        return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+    rows = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("!")).alias("text"))
+    return CallableProvider(answer, 32).complete(rows, "text", "answer").select("doc_id", "answer")
+
+
+@query("SELECT count(*) AS n_rows, sum(octet_length(encode(text)))::BIGINT AS n_bytes, true AS bounded FROM documents")
+def scan_batches(spark, d):
+    """A scan in batches of at most 256 rows."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from brindle.sources.datasets import scanned
+
+    def sizes(batch):
+        return pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([pc.sum(pc.binary_length(batch.column(0))).as_py() or 0])], names=["n", "bytes"])
+
+    rows = scanned(table(spark, d, "documents").select("text"), sizes, "n long, bytes long", 256)
+    return rows.agg(F.sum("n").alias("n_rows"), F.sum("bytes").alias("n_bytes"), (F.max("n") <= 256).alias("bounded"))
+
+
+@query("SELECT source, 'av_sft_joint_probe_C0-24_' || source AS training_id, 'probe_C0-24_' || source AS bare FROM (SELECT DISTINCT source FROM documents)")
+def training_names(spark, d):
+    """Names of what is made of a base: its own without the prefix."""
+    base_id = F.concat(F.lit("base_probe_C0-24_"), F.col("source"))
+    bare = X.without_base(base_id)
+    return table(spark, d, "documents").select("source").distinct().select("source", F.concat(F.lit("av_sft_joint_"), bare).alias("training_id"), bare.alias("bare"))
+
+
+@query("""WITH o AS (SELECT event_id, value, user_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS place, count(*) OVER () AS n FROM events)
+SELECT event_id AS sample_id, value AS reward, CASE WHEN place < 5 THEN 'top' WHEN place >= n // 2 - 2 AND place < n // 2 + 3 THEN 'middle' ELSE 'bottom' END AS section,
+CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'other' END AS source, 'some text of event ' || event_id || ' …' AS text, 'why ' || event_id AS explanation FROM o
+WHERE place < 5 OR place >= n // 2 - 2 AND place < n // 2 + 3 OR place >= n - 5""")
+def report_lines(spark, d):
+    """The rollout report's rows: picked by reward, labelled by source, payloads out of their tags."""
+    from brindle.plans.pipeline import report
+
+    n = F.col("event_id").cast("string")
+    doc = F.when(F.pmod("user_id", F.lit(2)) == 0, "web:even").otherwise("web:odd")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("sample_id"), F.col("value").alias("reward"), doc.alias("doc_id"), F.concat(F.lit("some text of event "), n, F.lit(" …")).alias("text"), F.concat(F.lit("x <explanation>why "), n, F.lit("</explanation>")).alias("response"))
+    return report(rows, labels=[(":even", "even")]).select("sample_id", "reward", "section", "source", "text", "explanation")

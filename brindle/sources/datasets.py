@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brindle.operators.contracts import require, require_slice
 from brindle.operators.ordering import id_ranked
@@ -48,3 +50,20 @@ def merge_shards(shards: list[tuple[DataFrame, dict]]) -> DataFrame:
     total, expected = merged.count(), sum(p["row_count"] for _, p in ordered)
     require(total == expected, f"{total} rows, {expected} recorded")
     return merged
+
+
+def scanned(df: DataFrame, fn: Callable, schema: str | StructType, rows: int = 4096, most: int = 16 << 20) -> DataFrame:
+    """``fn`` over a table's Arrow batches of at most ``rows`` rows and ``most`` bytes (a longer row is a batch of its own):
+    what a worker holds at once is bounded, whatever the files' row groups."""
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, rows)
+                while part.num_rows > 1 and part.nbytes > most:
+                    part = part.slice(0, part.num_rows // 2)
+                yield fn(part)
+                at += part.num_rows
+
+    return df.mapInArrow(run, schema)

@@ -379,6 +379,12 @@ def test_markers_are_kept_by_name_and_checked():
         plugins.marker_of(other, "t1")
 
 
+def test_presets_of_a_file(spark, tmp_path):
+    storage.Files(spark).write(f"{tmp_path}/presets.json", '{"small": {"layers": 24, "width": 896, "joint": false}}')
+    found = P.presets_from(spark, f"{tmp_path}/presets.json")
+    assert P.resolved({"model": "small"}, found) == {"model": "small", "width": 896, "joint": False, "layer": 16}
+
+
 # the pipeline's stages
 
 
