@@ -9,7 +9,7 @@ Blocks travel once, distinct ones only, combined before the shuffle: they are gr
 whether a hash stands for one block or several; afterwards a block is its hash and its rank among the blocks of that
 hash. Further rounds move a few numbers a document, and only for documents of several blocks.
 
-Defined results: null counts as empty, empty texts are equal; the row with the smallest id stays; rows repeated
+Defined results: null counts as empty, empty texts are equal; very long texts are as many blocks as they need; the row with the smallest id stays; rows repeated
 under one id are members of the group, and the first of them stays for all; a null id never stays beside an id; an
 empty table gives an empty table; columns other than id and text are not read.
 """

@@ -10,7 +10,8 @@ Nothing is lost: the bound and the pigeonhole are exact, no cell is capped. Noth
 of copies: fingerprints are distinct before the join, cells are compared block by block in memory, and of the links of
 a cell only a spanning forest leaves it, which is all that components need.
 
-Defined results: a text without words has fingerprint zero and links like any other; null texts count as empty; a
+Defined results: a text without words has fingerprint zero and links like any other; null texts count as empty; very
+long texts are hashed whole, a part at a time; fingerprints alike are one, so ties and copies share a component; a
 null id takes part, and is never a component id unless no member has one; repeated rows share a component; an empty
 table gives an empty table; columns other than id and text are not read.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +32,9 @@ from brindle.llm.exact import only, repeated_ids, text_sha
 from brindle.llm.links import forest, grouped, pairs_of_small, runs, stars, whole_groups
 
 SEED = 42
+#: Bytes of a text whose words are taken apart at once, and where parts may end.
+PART, BLANK = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
+SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 #: Cells of up to this many rows give all their links, larger ones a spanning forest of them.
 SMALL = 16
 
@@ -48,15 +53,23 @@ def majority(hashes: np.ndarray) -> np.uint64:
 
 
 def hashed_shingles(text: bytes | None, shingle: int) -> np.ndarray:
-    """XXH64 of all shingles, repeats included, of the whole sequence where it is shorter."""
+    """XXH64 of all shingles, repeats included, of the whole sequence where it is shorter. Words are taken apart part by
+    part, so a very long text costs little more than 8 bytes a shingle."""
     import xxhash
 
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, dtype="<u8")
     hashed = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
-    parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if len(words) > shingle else [b" ".join(words)]
-    return np.fromiter(map(hashed, parts), dtype="<u8", count=max(1, len(words) - shingle + 1))
+    text, at, words, found = text or b"", 0, [], []
+    while at < len(text):
+        m = BLANK.search(text, at + PART) if len(text) - at > PART else None
+        words += text[at : m.start() if m else len(text)].lower().split()
+        at = m.start() if m else len(text)
+        if len(words) >= shingle:
+            parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
+            found.append(np.fromiter(map(hashed, parts), dtype="<u8", count=len(words) - shingle + 1))
+            words = words[len(words) - shingle + 1 :]
+    if not found:
+        return np.fromiter([hashed(b" ".join(words))] if words else [], dtype="<u8")
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3, name: str = "fp") -> DataFrame:
@@ -314,7 +327,7 @@ def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int, leas
                 text = t.as_py() or b""
                 h = np.unique(hashed_shingles(text, shingle))
                 rows[k] = majority(h).view(np.int64), len(h)
-                words.append(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest())
+                words.append(hashlib.blake2b(SPACES.sub(b" ", text.lower().strip()), digest_size=16).digest())
                 rare.append(prefix(h, least, known, level).view(np.int64))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(words, pa.binary()), *(pa.array(rows[:, c]) for c in range(2)), pa.array(rare, pa.list_(pa.int64()))], names=schema.names)
 
