@@ -34,14 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of queries that end meanwhile go at once, so that a job of many steps needs the disk of one, and what
     goes to Python goes in small batches."""
-    before = {k: spark.conf.get(k) for k in (CLEANUP, BATCH)}
+    before = {k: spark.conf.get(k, None) for k in (CLEANUP, BATCH)}
     spark.conf.set(CLEANUP, "true")
     spark.conf.set(BATCH, BATCH_BYTES)
     try:
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
