@@ -189,6 +189,8 @@ SLACK = 1e-9
 DENSE = 1
 #: Documents of the sample that tells common shingles, and in how many of them one stands at least to be common.
 SAMPLE, COMMON = 65_536, 4
+#: Common shingles that are told at most, the most common first.
+KNOWN = 500_000
 
 
 PROPOSED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("dense", T.BooleanType())])
@@ -279,8 +281,8 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -
     """The shingles of ``COMMON`` or more documents of a sample, sorted, and for each the log of their number, rounded down.
 
     They only order shingles, the rare before the common: any order that is one for all texts finds all pairs, so the
-    sample decides how many texts meet in vain and nothing else. At most ``SAMPLE`` / ``COMMON`` texts' worth come back, as
-    8 bytes a shingle, and go to all executors.
+    sample decides how many texts meet in vain and nothing else. ``KNOWN`` at most, a few MB, come back and go to all
+    executors.
     """
     import pyarrow as pa
 
@@ -292,7 +294,7 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -
 
     share = F.pmod(F.xxhash64(id_col, text_col), F.lit(max(1, docs.count() // SAMPLE))) == 0
     seen = docs.where(share).select(F.col(text_col).cast("string").cast("binary").alias("_text")).mapInArrow(run, "h long").groupBy("h").count()
-    rows = seen.where(F.col("count") >= COMMON).toPandas()
+    rows = seen.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(KNOWN).toPandas()
     h, level = rows["h"].to_numpy(dtype=np.int64).view(np.uint64), np.log2(rows["count"].to_numpy(dtype=float)).astype(np.int8)
     order = np.argsort(h)
     return h[order], level[order]
