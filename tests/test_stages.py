@@ -379,6 +379,22 @@ def test_markers_are_kept_by_name_and_checked():
         plugins.marker_of(other, "t1")
 
 
+def test_settings_of_a_run(spark, tmp_path):
+    tok, actor = plugins.WordTokenizer(), "See <concept>{injection_char}</concept>."
+    meta = DatasetMeta("kept", "av_sft", 0, depths=[0], width=1, tokens=plugins.token_metadata(tok, actor, 1), templates={"actor": actor})
+    rows = spark.createDataFrame([([1.0],)], "activation_vector array<float>")
+    storage.write_dataset(rows, f"{tmp_path}/data", meta)
+    got = plugins.runtime_settings(spark, tok, model_dir=f"{tmp_path}/nothing", dataset=f"{tmp_path}/data")
+    assert got.tokens == meta.tokens and got.row_count == 1
+    assert plugins.runtime_settings(spark, tok, model_dir=f"{tmp_path}/data", dataset=f"{tmp_path}/nothing").dataset_id == "kept"
+    other = plugins.WordTokenizer()
+    other.ids("shifts all ids")
+    with pytest.raises(ContractError):
+        plugins.runtime_settings(spark, other, dataset=f"{tmp_path}/data")
+    with pytest.raises(ContractError):
+        plugins.runtime_settings(spark, tok, model_dir=f"{tmp_path}/nothing")
+
+
 def test_presets_of_a_file(spark, tmp_path):
     storage.Files(spark).write(f"{tmp_path}/presets.json", '{"small": {"layers": 24, "width": 896, "joint": false}}')
     found = P.presets_from(spark, f"{tmp_path}/presets.json")
