@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
+from brindle.operators.ordering import values_at
 
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -57,11 +60,19 @@ def critic_sums(pairs: DataFrame, group: str, pred: str, gold: str, scale: float
 
 
 def reward_summary(df: DataFrame, reward: str) -> DataFrame:
+    """Count, mean, deviation, extremes and exact percentiles, between ranks in proportion, of the rewards that are known."""
     x = F.col(reward)
-    cuts = F.percentile(x, F.array(*[F.lit(p) for p in PERCENTILES]))
-    return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), cuts.alias("c")).select(
-        "n", "mean", "std", "min", "max", *[F.col("c")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(PERCENTILES)]
-    )
+    row = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    n = row.first()["n"]
+    places = {p: p * (n - 1) for p in PERCENTILES} if n else {}
+    at = values_at(df, reward, sorted({r for place in places.values() for r in (math.floor(place), math.ceil(place))}))
+    for p in PERCENTILES:
+        found = None
+        if p in places:
+            low, high, part = float(at[math.floor(places[p])]), float(at[math.ceil(places[p])]), places[p] % 1
+            found = low if part == 0 else low * (1 - part) + high * part
+        row = row.withColumn(f"p{round(100 * p)}", F.lit(found).cast("double"))
+    return row
 
 
 def group_counts(df: DataFrame, group: str) -> DataFrame:

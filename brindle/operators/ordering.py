@@ -111,6 +111,27 @@ def at_ranks(df: DataFrame, value: str, key: str, start: int, n: int) -> DataFra
     return rows.where((F.col("_rank") + first).between(start, start + n - 1)).select(*df.columns)
 
 
+def values_at(df: DataFrame, value: str, ranks: list[int]) -> dict[int, object]:
+    """The values at some ranks, from 0 in ascending order, nulls left out.
+
+    Counts by distinct value, in buckets between approximate quantiles, tell which values the ranks fall on: exact, and no
+    task holds or sorts all values. The driver gets a row for each rank at most.
+    """
+    known = df.where(F.col(value).isNotNull()).select(value)
+    cuts = known.agg(F.percentile_approx(value, [i / 256 for i in range(1, 256)], 2000)).first()[0] or []
+    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    counts = known.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", below)
+    before = W.Window.orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = counts.groupBy("_bucket").agg(F.sum("_n").alias("_t")).select("_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    inside = W.Window.partitionBy("_bucket").orderBy(value).rowsBetween(W.Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, "_bucket").select(F.col(value).alias("_value"), (F.col("_start") + F.col("_in")).alias("_from"), "_n")
+    hit = F.lit(False)
+    for r in ranks:
+        hit = hit | ((F.col("_from") <= r) & (F.col("_from") + F.col("_n") > r))
+    rows = placed.where(hit).collect()
+    return {r: row["_value"] for r in ranks for row in rows if row["_from"] <= r < row["_from"] + row["_n"]}
+
+
 def top_middle_bottom(df: DataFrame, reward: str, key: str, top: int, middle: int, bottom: int) -> DataFrame:
     """Rows at the top, around the middle and at the bottom by reward, each in the first section that has it."""
     total = df.count()

@@ -158,6 +158,19 @@ def test_first_by_key(spark):
     assert set(map(tuple, ordering.first_by_key(df, ["k"], "o").collect())) == {("a", 1, "y"), ("b", 2, "z"), (None, 5, "n")}
 
 
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for values_ in ([], [2.5], [1.0, 2.0], [3.0] * 50, [*rng.normal(size=3000).tolist(), *[0.25] * 2000, None, None]):
+        df = spark.createDataFrame([(x,) for x in values_], "r double").repartition(3)
+        got = metrics.reward_summary(df, "r").first()
+        known = [x for x in values_ if x is not None]
+        assert got["n"] == len(known)
+        for p in metrics.PERCENTILES:
+            assert got[f"p{round(100 * p)}"] == (pytest.approx(np.quantile(known, p)) if known else None)
+
+
 def test_bundles_by_text_keys(spark):
     df = spark.createDataFrame([(f"k{i}", float(i), i * 10) for i in range(50)], "k string, activation_a double, n long")
     got = S.shuffle_bundles(df, "k", ["activation_a"], 3, "x").collect()
