@@ -405,8 +405,9 @@ def templates(pages: DataFrame) -> DataFrame:
     seen = written(seen.where(f"pages >= {LEAST}"), "occurrences")
     sizes = seen.where("token = -1").select("_host", F.col("pages").alias("_all"))
     kept = seen.join(sizes, "_host").where(F.col("pages") >= SUPPORT * F.col("_all")).drop("_all")
-    # about the tokens of a few pages a host, however many pages it has
-    return kept.repartition("_host").sortWithinPartitions("_host").mapInArrow(deduce, made)
+    # about the tokens of a few pages a host, however many pages it has; dealt by a hash of the host, for by the host itself
+    # the join may have dealt them already, and split what was too much for a task
+    return kept.repartition(F.xxhash64("_host")).sortWithinPartitions("_host").mapInArrow(deduce, made)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
