@@ -1,14 +1,17 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-A code is a random rotation and, for each half of the rotated space, ``WORDS`` random unit vectors; a filter direction
-is a pair of them, so ``WORDS`` squared directions cost two small tables. A vector is list-decoded: from the best
-words of each half it finds the directions whose cap holds it, the cap's height set so that ``LIST`` directions of
-each of ``CODES`` codes exceed it. Vectors that share a filter are compared, by cosine in double precision. Vectors
-of cosine 0.9 share a filter with probability 0.99, nearer ones almost surely (tests measure it against brute force).
-
-Equal vectors are one class first, so copies cost nothing. Cells are compared block by block in memory; a link counts
-in the first filter that both vectors have, so nothing is counted twice and no pair leaves its task: what leaves are
-a number of links for each vector and a spanning forest.
+A code is a random rotation and, for each half of the rotated space, a book of random unit vectors; a filter direction
+is a pair of them, so a book's square of directions costs two small tables. A vector is list-decoded: from the best
+words of each half it finds the directions whose cap holds it, the cap's height set so that a number of directions of
+each of ``CODES`` codes exceed it. Vectors that share a filter are compared, by cosine in double precision. Books grow
+with the root of the number of vectors, so that cells stay as small as they are, and the list is the shortest by which
+random pairs at the threshold share a filter with probability ``RECALL`` (nearer ones almost surely); both are worked
+out from the number and the width alone. Books end at ``BOOK`` words: beyond some millions of vectors cells grow again.
+
+Equal vectors are one class first, so copies cost nothing. Filters that the same vectors share bring the same pairs
+together, so one of them is kept. Cells are compared block by block in memory; a link counts in the first kept filter
+that both vectors have, so nothing is counted twice and no pair leaves its task: what leaves are a number of links for
+each vector and a spanning forest.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; vectors
 of different widths do not link; repeated rows link with each other; a null id takes part, and is a component id only
@@ -17,6 +20,9 @@ where no member has one; an empty table gives an empty table; columns other than
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +31,10 @@ from pyspark.sql import types as T
 from brindle.llm.common import arrow_rows, components, written
 from brindle.llm.links import forest, grouped, pairs_of_small, runs, whole_groups
 
-CODES, WORDS, LIST, SEED = 4, 512, 5, 20
+CODES, SEED = 4, 20
+#: Words of a book at least and at most, directions for each vector, the share of pairs at the threshold to be found, and
+#: the longest list of a code.
+LEAST_BOOK, BOOK, SPARSE, RECALL, LONGEST = 128, 8192, 32, 0.985, 40
 #: Runs of up to this many rows are compared all at once; larger ones run by run, in blocks of about BLOCK.
 SMALL, BLOCK = 16, 1024
 
@@ -33,7 +42,7 @@ SMALL, BLOCK = 16, 1024
 class ProductCodes:
     """The codes for vectors of one width."""
 
-    def __init__(self, width: int, codes: int = CODES, words: int = WORDS, listed: int = LIST) -> None:
+    def __init__(self, width: int, words: int = 512, listed: int = 5, codes: int = CODES) -> None:
         self.width, self.words, self.listed, half = width, words, min(listed, words), -(-width // 2)
         self.half, self.codes = half, []
         for c in range(codes):
@@ -55,6 +64,35 @@ class ProductCodes:
         return np.sort(np.concatenate(out, axis=1), axis=1).astype(np.int32)
 
 
+def book_of(n: int) -> int:
+    """The words of a book for ``n`` vectors: a power of two."""
+    return min(BOOK, max(LEAST_BOOK, 1 << math.ceil(math.log2(max(1, SPARSE * n)) / 2)))
+
+
+def at_cosine(width: int, n: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at a cosine."""
+    rng = np.random.default_rng([SEED, width, n])
+    x, y = rng.normal(size=(2, n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * y / np.maximum(1e-300, np.linalg.norm(y, axis=1, keepdims=True))
+
+
+@functools.lru_cache(maxsize=64)
+def fitted(width: int, words: int, threshold: float, pairs: int = 600) -> ProductCodes:
+    """The codes for a width with the shortest list that finds ``RECALL`` of random pairs at the threshold."""
+    if width < 2:
+        return ProductCodes(width, words, 1)
+    x, y = at_cosine(width, pairs, threshold)
+    low, high = 1, min(LONGEST, words)
+    while low < high:
+        middle = (low + high) // 2
+        codes = ProductCodes(width, words, middle)
+        found = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(codes.decode(x), codes.decode(y), strict=True)])
+        low, high = (low, middle) if found >= RECALL else (middle + 1, high)
+    return ProductCodes(width, words, low)
+
+
 def normed(raw: np.ndarray) -> np.ndarray:
     """Unit vectors in double precision."""
     raw = raw.astype(np.float64)
@@ -88,13 +126,15 @@ def compare(threshold: float):
 
     def one_width(part):
         cell, i, j, block, cid, many = (part.column(c).to_numpy() for c in ("cell", "_i", "_j", "_block", "cid", "many"))
-        units, filters = normed(matrix(part, "v")), matrix(part, "filters")
-        filter_ = cell & 0xFFFFFFFF
+        units, kept = normed(matrix(part, "v")), part.column("kept").combine_chunks()
+        each = kept.value_lengths().to_numpy()
+        filters = np.full((len(cid), each.max(initial=0) + 1), np.iinfo(np.int64).max)
+        filters[np.repeat(np.arange(len(cid)), each), np.arange(each.sum()) - np.repeat(each.cumsum() - each, each)] = kept.flatten().to_numpy()
         spans = np.array(list(runs([cell, i, j])), dtype=np.int64).reshape(-1, 2)
         gained, edges = np.zeros(len(cid), dtype=np.int64), []
 
         def count(x, y):
-            new = ~seen_before(filters[x], filters[y], filter_[x])
+            new = ~seen_before(filters[x], filters[y], cell[x])
             np.add.at(gained, x[new], many[y[new]])
             np.add.at(gained, y[new], many[x[new]])
 
@@ -143,8 +183,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("many", T.LongType()), T.StructField("v", T.ArrayType(kind)), T.StructField("filters", T.ArrayType(T.IntegerType()))])
     arrow = pa.float32() if single else pa.float64()
 
+    books = {r["width"]: book_of(r["n"]) for r in classes.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
     def decode(batches):
-        codes: dict[int, ProductCodes] = {}
         for part in arrow_rows(batches, 256):
             widths: dict[int, list[int]] = {}
             lists = part.column(2)
@@ -152,15 +193,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 widths.setdefault(n, []).append(at)
             for n, at in widths.items():
                 raw = lists.take(pa.array(at)).flatten().to_numpy().reshape(-1, n)
-                if n not in codes:
-                    codes[n] = ProductCodes(n)
-                filters = codes[n].decode(normed(raw))
+                filters = fitted(n, books[n], threshold).decode(normed(raw))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(list(raw), pa.list_(arrow)), pa.array(list(filters), pa.list_(pa.int32()))], names=schema.names)
 
     decoded = written(classes.select("cid", "many", "v").mapInArrow(decode, schema), "decoded")
     cells = decoded.select(F.explode("filters").alias("filter"), F.size("v").cast("long").alias("width"), "cid")
     cells = cells.select((F.shiftleft("width", 40) + F.col("filter")).alias("cell"), "cid")  # vectors of another width meet elsewhere
-    found = written(grouped(cells, "cell", F.xxhash64("cid"), compare(threshold), LINKS, block=BLOCK, payload=decoded, by="cid"), "links")
+    half = lambda shift: F.sum(F.shiftrightunsigned(F.xxhash64("cid"), shift).bitwiseAND(0x7FFFFFFF))
+    several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), half(0).alias("low"), half(33).alias("high")).where("n > 1")
+    several = written(several.groupBy("n", "low", "high").agg(F.min("cell").alias("cell")).select("cell"), "several")
+    cells = written(cells.join(several, "cell"), "shared")
+    lists = cells.groupBy("cid").agg(F.sort_array(F.collect_list("cell")).alias("kept"))  # as many as a vector has filters at most
+    payload = written(decoded.select("cid", "many", "v").join(lists, "cid"), "payload")
+    found = written(grouped(cells, "cell", F.xxhash64("cid"), compare(threshold), LINKS, block=BLOCK, payload=payload, by="cid"), "links")
     roots = components(found.where("b IS NOT NULL").select("a", "b"), "vectors")
     gained = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("gained"))
     known = classes.join(gained, "cid", "left").join(roots, classes["cid"] == roots["node"], "left")
