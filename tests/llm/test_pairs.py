@@ -131,6 +131,19 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text and text.encode(), 3) == plain_fingerprint(text, 3)
 
 
+@pytest.mark.parametrize("part", [1, 7, 50])
+def test_shingles_in_parts(monkeypatch, part):
+    for text in (b"", b" ", b"One", b"one two", b"a b c", b"A b  C d\x0be\x1cf g", b"x " * 60, b" lead and trail\n\n"):
+        for k in (1, 3, 5):
+            whole = simhash.hashed_shingles(text, k)
+            words = [w for w in re.split(rb"[\x20\x09-\x0D]+", text.lower()) if w]
+            parts = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([b" ".join(words)] if words else [])
+            assert whole.tolist() == [xxhash.xxh64_intdigest(p, seed=42) for p in parts]
+            with monkeypatch.context() as m:
+                m.setattr(simhash, "PART", part)
+                assert (simhash.hashed_shingles(text, k) == whole).all()
+
+
 def test_manhattan_bounds_hamming():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2**64, (2, 500), dtype=np.uint64)
@@ -311,16 +324,24 @@ def test_vector_links(spark):
     assert got[3]["n_links"] >= 1 and capfilters.near_vectors(df.where("false")).count() == 0
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(800, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = rng.normal(size=(800, 64))
-    y -= (x * y).sum(axis=1, keepdims=True) * x
-    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    codes = capfilters.ProductCodes(64)
+@pytest.mark.parametrize(("width", "n"), [(16, 500), (32, 50_000), (64, 500), (64, 50_000), (64, 2_000_000), (128, 50_000)])
+def test_recall_at_the_threshold(width, n):
+    codes = capfilters.fitted(width, capfilters.book_of(n), 0.9)
+    x, y = capfilters.at_cosine(width, 801, 0.9)  # other pairs than the list was fitted on
+    assert np.allclose((x * y).sum(axis=1), 0.9)
     a, b = codes.decode(x), codes.decode(y)
-    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) > 0.97
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) > 0.95
+
+
+def test_cells_stay_as_small_whatever_the_number():
+    """Comparisons of unlike vectors that a vector takes part in, from the share of random pairs in one cell."""
+    each = {}
+    for n in (2_000, 10_000, 50_000, 250_000):
+        codes = capfilters.fitted(64, capfilters.book_of(n), 0.9)
+        x, _ = capfilters.at_cosine(64, 2_000, 0.0)
+        _, many = np.unique(codes.decode(x), return_counts=True)
+        each[n] = (many * (many - 1)).sum() / 2_000 * n / 2_000
+    assert max(each.values()) < 4 * max(1.0, min(each.values())) + 2
 
 
 def test_vector_query_recall(spark, sf_dir):
@@ -633,6 +654,22 @@ def test_pages_without_marks_against_plain_deduction(spark, seed):
     assert changed > 0.9 * len(rows)  # marks alone say something else
 
 
+def test_hosts_stay_whole_where_joins_split_them(spark):
+    """Adaptive execution splits the skewed side of a join: a host's tokens must meet all the same."""
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    rows = [(i, f"https://h{0 if i % 3 else i % 10}.org/{i}", "<div class='a'>" + "".join(f"<div class='c{k}'><p>w{i * k}</p></div>" for k in range(60)) + f"</div><div class='b'>foot {i}</div>") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(30)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    want = {tuple(r) for r in pages.extract(df).collect()}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert {tuple(r) for r in pages.extract(df).collect()} == want and not any("foot" in r[2] for r in want)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_unmarked_pages_of_the_table(spark, sf_dir):
     """The table's pages with names and classes that say nothing: the template alone finds the same texts."""
     names = {"article": "q5", "nav": "q1", "footer": "q7", "h1": "q6", "ul": "q2", "li": "q3"}
