@@ -25,7 +25,7 @@ COMPONENTS = f"se AS (SELECT vec_id, unnest({scaled_sql('embedding')}) AS x, gen
 
 @query(f"SELECT vec_id, list_transform({scaled_sql('embedding')}, lambda x: round(x, 9)) AS scaled FROM embeddings")
 def l2_normalize(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(V.scaled(F.col("embedding"), SCALE), lambda x: F.round(x, 9)).alias("scaled"))
+    return vectors(spark, d).select("vec_id", F.transform(V.scaled(F.col("embedding"), SCALE), lambda x: V.rounded(x, 9)).alias("scaled"))
 
 
 @query(f"SELECT vec_id, round({NORM.format(v='embedding')}, 12) AS norm FROM embeddings")
