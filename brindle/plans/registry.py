@@ -71,6 +71,26 @@ def sample(spark, d) -> DataFrame:
     return keyed_sample(eligible(spark, d), ["doc_id"], "pos", SEED, POSITIONS)
 
 
+#: Positions of a text that are put in order at once.
+PART = 4096
+
+
+def drawn_positions(tokens: str, doc_id: str):
+    """The positions that :func:`sample` draws from one row, in their order, as an array: rows of a text are neither exploded
+    nor sorted for it. A long text is gone through part by part."""
+    from brindle.operators.ordering import keyed_hash
+
+    def part(k):
+        words = F.slice(F.col(tokens), k * PART + 1, F.lit(PART))
+        at = lambda i: (k * PART + i).cast("long")
+        row = lambda t, i: F.when((at(i) >= FIRST) & ~t.isin(*SPECIALS), F.struct(keyed_hash(SEED, F.col(doc_id), at(i)).alias("h"), at(i).alias("pos")))
+        return F.filter(F.transform(words, row), lambda x: x.isNotNull())
+
+    parts = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / PART).cast("int"))
+    least = F.aggregate(parts, F.array().cast("array<struct<h:string,pos:bigint>>"), lambda kept, k: F.slice(F.sort_array(F.concat(kept, part(k))), 1, POSITIONS))
+    return F.transform(F.when(F.col(tokens).isNotNull(), least), lambda x: x["pos"])
+
+
 def vector_at(spark, d, depth: int):
     """The number of the vector that stands for a position at a depth."""
     n = table(spark, d, "embeddings").agg(F.count(F.lit(1))).scalar()
