@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import arrow_rows, components, written
+from brindle.llm.common import arrow_rows, components, tidy, written
 from brindle.llm.exact import only, repeated_ids, text_sha
 from brindle.llm.links import forest, grouped, pairs_of_small, runs, stars, whole_groups
 
@@ -187,10 +187,8 @@ SLACK = 1e-9
 #: More pairs than this for each item of a cell come as stars of what they connect, which is verified as a group: all
 #: pairs of it, so that no link is lost, and none of them leaves its task.
 DENSE = 1
-#: Documents of the sample that tells common shingles, and in how many of them one stands at least to be common.
-SAMPLE, COMMON = 65_536, 4
-#: Common shingles that are told at most, the most common first.
-KNOWN = 500_000
+#: Shingles are counted in 2 ** ``BUCKETS`` buckets of their hashes, which travel in blocks of 2 ** ``BLOCK``.
+BUCKETS, BLOCK = 22, 16
 
 
 PROPOSED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("dense", T.BooleanType())])
@@ -277,42 +275,63 @@ def shingles(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(hashed_shingles(text, shingle)).view(np.int64)
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of ``COMMON`` or more documents of a sample, sorted, and for each the log of their number, rounded down.
+def shingle_levels(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """How common the shingles of each bucket of hashes are: the log of the number of times that a document of ``docs``, of
+    all of them, has a shingle there, rounded down.
 
-    They only order shingles, the rare before the common: any order that is one for all texts finds all pairs, so the
-    sample decides how many texts meet in vain and nothing else. ``KNOWN`` at most, a few MB, come back and go to all
-    executors.
+    They only order shingles, the rare before the common: any order that is one for all texts finds all pairs, so what
+    shares a bucket decides how many texts meet in vain and nothing else. Each task counts in an array, so a common shingle
+    is nobody's burden; 4 MB come back and go to all executors, whatever the documents.
     """
     import pyarrow as pa
 
+    size = 1 << BLOCK
+
     def run(batches):
+        counts, waiting, held = np.zeros(1 << BUCKETS, dtype=np.int32), [], 0
         for part in arrow_rows(batches):
-            found = [np.unique(hashed_shingles(t.as_py(), shingle)) for t in part.column(0)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
-
-    share = F.pmod(F.xxhash64(id_col, text_col), F.lit(max(1, docs.count() // SAMPLE))) == 0
-    seen = docs.where(share).select(F.col(text_col).cast("string").cast("binary").alias("_text")).mapInArrow(run, "h long").groupBy("h").count()
-    rows = seen.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(KNOWN).toPandas()
-    h, level = rows["h"].to_numpy(dtype=np.int64).view(np.uint64), np.log2(rows["count"].to_numpy(dtype=float)).astype(np.int8)
-    order = np.argsort(h)
-    return h[order], level[order]
-
-
-def prefix(h: np.ndarray, least: float, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+            for t in part.column(0):
+                waiting.append((np.unique(hashed_shingles(t.as_py(), shingle)) >> np.uint64(64 - BUCKETS)).astype(np.int32))
+                held += len(waiting[-1])
+                if held >= 1 << 20:
+                    counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.int32)
+                    waiting, held = [], 0
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.int32)
+        full = [k for k in range(len(counts) // size) if counts[k * size : (k + 1) * size].any()]
+        packed = [pa.compress(counts[k * size : (k + 1) * size], codec="zstd", asbytes=True) for k in full]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+
+    def add(batches):
+        total = {}
+        for part in batches:
+            for k, packed in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                counts = np.frombuffer(pa.decompress(packed.as_buffer(), 4 * size, codec="zstd"), dtype=np.int32)
+                total[k] = total.get(k, 0) + counts.astype(np.int64)
+        for k, counts in total.items():
+            level = np.log2(np.maximum(counts, 1)).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
+
+    texts = docs.select(F.col(text_col).cast("string").cast("binary").alias("_text"))
+    parts = texts.mapInArrow(run, "block int, counts binary").repartition("block")
+    levels = np.zeros(1 << BUCKETS, dtype=np.int8)
+    with tidy(docs.sparkSession):
+        for row in parts.mapInArrow(add, "block int, level binary").collect():
+            levels[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["level"], dtype=np.int8)
+    return levels
+
+
+def prefix(h: np.ndarray, least: float, levels: np.ndarray | None = None) -> np.ndarray:
     """Of the sorted distinct shingles of a text, rare ones first, as many that no text with a similarity of ``least`` lacks
     them all: two such texts share one that stands in the prefix of both."""
     if not len(h):
         return h
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        rank = np.where(common[at] == h, level[at], 0)
-        h = h[np.argsort(rank, kind="stable")]
+    if levels is not None:
+        h = h[np.argsort(levels[h >> np.uint64(64 - BUCKETS)], kind="stable")]
     return h[: len(h) - math.ceil(least * len(h) - SLACK) + 1]
 
 
-def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int, least: float = 0.8, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int, least: float = 0.8, levels: np.ndarray | None = None) -> DataFrame:
     """The columns ``keep``, a digest of the words, the fingerprint of the distinct shingles, how many they are, and the
     prefix of them. Repeats don't count, as they don't in the similarity that decides."""
     import hashlib
@@ -320,7 +339,6 @@ def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int, leas
     import pyarrow as pa
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("words", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("fp", "n")), T.StructField("rare", T.ArrayType(T.LongType()))])
-    known, level = common or (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8))
 
     def run(batches):
         for part in arrow_rows(batches):
@@ -330,7 +348,7 @@ def sketches(docs: DataFrame, keep: list[str], text_col: str, shingle: int, leas
                 h = np.unique(hashed_shingles(text, shingle))
                 rows[k] = majority(h).view(np.int64), len(h)
                 words.append(hashlib.blake2b(SPACES.sub(b" ", text.lower().strip()), digest_size=16).digest())
-                rare.append(prefix(h, least, known, level).view(np.int64))
+                rare.append(prefix(h, least, levels).view(np.int64))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(words, pa.binary()), *(pa.array(rows[:, c]) for c in range(2)), pa.array(rare, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias("_text")).mapInArrow(run, schema)
@@ -494,7 +512,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = not repeated_ids(docs, id_col).isEmpty()
     sha = text_sha(F.col(text_col)) if several else F.lit("")  # where ids tell the rows, they do
     narrow = docs.select(F.col(id_col).alias("id"), sha.alias("sha"), F.col(text_col).cast("string").alias("text"))
-    prints = sketches(narrow, ["id", "sha"], "text", shingle, least, common_shingles(narrow, "id", "text", shingle))
+    prints = sketches(narrow, ["id", "sha"], "text", shingle, least, shingle_levels(narrow, "text", shingle))
     prints = written(prints.withColumn("node", F.monotonically_increasing_id()), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
     alike = prints.groupBy("words").agg(first, F.count(F.lit(1)).alias("many")).where("many > 1")
